@@ -61,7 +61,9 @@ def parse_timestamp(text: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss.SSS"
 
 def seconds_between(later: Column | str, earlier: Column | str, whole: bool = False) -> Column:
     """Elapsed seconds of two timestamps; ``whole`` cuts off the fraction."""
-    micros = F.unix_micros(as_column(later)) - F.unix_micros(as_column(earlier))
+    # The cast also admits timestamps without a time zone.
+    end, start = as_column(later).cast("timestamp"), as_column(earlier).cast("timestamp")
+    micros = F.unix_micros(end) - F.unix_micros(start)
     seconds = micros / F.lit(1e6)
     return seconds.cast("long").cast("double") if whole else seconds
 

@@ -70,9 +70,7 @@ def back(name: str, steps: int = 1) -> str:
 def _scale(df: DataFrame, name: str) -> Column | None:
     """An order column on a number line, or None for other types."""
     data_type = df.schema[name].dataType
-    if isinstance(data_type, TimestampType):
-        return F.unix_micros(name).cast("double")
-    if isinstance(data_type, TimestampNTZType):
+    if isinstance(data_type, (TimestampType, TimestampNTZType)):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     if isinstance(data_type, DateType):
         return F.unix_date(name).cast("double")

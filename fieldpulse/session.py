@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", app: str = "fieldpulse") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

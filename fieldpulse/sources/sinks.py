@@ -18,12 +18,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_plays(df: DataFrame, path: str, key: str = "PlayKey", files: int | None = None) -> None:
-    """Parquet with every play whole in one file, in time order within the file.
+    """Parquet in play and time order within each file.
 
-    After the mechanics the rows are placed by key already, so nothing moves
-    unless a number of files is asked for.
+    The result of the mechanics is placed by key already, so each play ends up
+    whole in one file and nothing is shuffled again. ``files`` places other
+    tables by key first.
     """
-    placed = df.repartition(files, key) if files else df.repartition(key)
+    placed = df.repartition(files, key) if files else df
     placed.sortWithinPartitions(key, "time").write.mode("overwrite").parquet(path)
 
 
