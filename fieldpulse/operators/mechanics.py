@@ -28,16 +28,9 @@ INERTIA = 0.5
 LARGEST_ID = 1_000_000
 
 
-def standardize_samples(
-    raw: DataFrame, max_rows: int | None = None, step: float = SAMPLE_STEP
-) -> DataFrame:
-    """Raw league samples to the common layout: PlayKey, time, x, y, o, dir, GSISID.
-
-    Drops samples without a valid id, parses the clock text and numbers the
-    samples of a play. Samples with the same clock text are ordered by their
-    values, so the result does not depend on the order of the files.
-    """
-    samples = raw.filter(F.col("GSISID") <= LARGEST_ID).select(
+def league_positions_in_time(raw: DataFrame) -> DataFrame:
+    """Raw league samples with a play key and a parsed clock, without those of no valid id."""
+    return raw.filter(F.col("GSISID") <= LARGEST_ID).select(
         build_key(F.col("GSISID").cast("int"), "GameKey", "PlayID").alias("PlayKey"),
         parse_timestamp("Time").alias("Time"),
         "x",
@@ -46,8 +39,23 @@ def standardize_samples(
         "dir",
         F.col("GSISID").cast("int").alias("GSISID"),
     )
-    series = Series("PlayKey", ("Time", "x", "y", "o", "dir"), max_rows)
-    return with_time_index(samples, series, step).select(
+
+
+def league_series(max_rows: int | None = None) -> Series:
+    """Samples of a play by clock; those with the same clock text by their values."""
+    return Series("PlayKey", ("Time", "x", "y", "o", "dir"), max_rows)
+
+
+def standardize_samples(
+    raw: DataFrame, max_rows: int | None = None, step: float = SAMPLE_STEP
+) -> DataFrame:
+    """Raw league samples to the common layout: PlayKey, time, x, y, o, dir, GSISID.
+
+    Drops samples without a valid id, parses the clock text and numbers the
+    samples of a play. The result does not depend on the order of the files.
+    """
+    samples = league_positions_in_time(raw)
+    return with_time_index(samples, league_series(max_rows), step).select(
         "PlayKey", "time", "x", "y", "o", "dir", "GSISID"
     )
 

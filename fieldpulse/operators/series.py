@@ -12,7 +12,7 @@ each chunk are handed to the next one through a small table.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -104,6 +104,17 @@ def long_keys(df: DataFrame, series: Series, keys: Sequence[str] | None = None)
     )
 
 
+def settle(df: DataFrame, series: Series) -> Series:
+    """Measure a series once, on the narrowest table that has all of its rows.
+
+    When no key is too long, the result is the plain series, and steps further
+    down a plan need not count again what they would have to recompute.
+    """
+    if series.max_rows is None or not long_keys(df, series).isEmpty():
+        return series
+    return replace(series, max_rows=None)
+
+
 def _cut(df: DataFrame, series: Series) -> DataFrame | None:
     """Add chunk numbers, or give None when no key is too long.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse.operators import attributes, mechanics, pairing
 from fieldpulse.operators.rollup import path_rollup
-from fieldpulse.operators.series import Series
+from fieldpulse.operators.series import Series, settle
 from fieldpulse.sources import sinks
 from fieldpulse.sources.catalog import Catalog
 
@@ -26,11 +26,12 @@ def lower_body_mechanics(
     samples: DataFrame, plays: DataFrame, max_rows: int | None = None
 ) -> DataFrame:
     """Mechanics of every sample of the lower-body set."""
+    # Counted on the samples alone, before anything is joined to them.
+    series = settle(samples, lower_body_series(max_rows))
     positioned = samples.select("PlayKey", "time", "x", "y", "dir", "o").transform(
         mechanics.correct_angles
     )
-    with_body = mechanics.attach_body(positioned, plays, "PlayKey")
-    return mechanics.mechanics(with_body, lower_body_series(max_rows))
+    return mechanics.mechanics(mechanics.attach_body(positioned, plays, "PlayKey"), series)
 
 
 def lower_body_injured(
@@ -72,9 +73,10 @@ def concussion_tracking(
     A play that is part of several reviews is tracked once for each; the
     InjuryKey keeps these apart.
     """
-    samples = mechanics.standardize_samples(raw, max_rows)
+    limit = _settled_limit(raw, max_rows)
+    samples = mechanics.standardize_samples(raw, limit)
     paired = pairing.pair_samples(samples, pairing.review_keys(reviews), "tracking")
-    series = Series(("PlayKey", "InjuryKey", "OpponentKey"), "time", max_rows)
+    series = Series(("PlayKey", "InjuryKey", "OpponentKey"), "time", limit)
     return _concussion_mechanics(paired, positions, series)
 
 
@@ -82,11 +84,18 @@ def concussion_rollup(
     raw: DataFrame, positions: DataFrame, max_rows: int | None = None
 ) -> DataFrame:
     """Roll-up of every play of the concussion set, each counted once."""
-    series = concussion_series(max_rows)
-    samples = mechanics.standardize_samples(raw, max_rows)
+    limit = _settled_limit(raw, max_rows)
+    series = concussion_series(limit)
+    samples = mechanics.standardize_samples(raw, limit)
     return path_rollup(_concussion_mechanics(samples, positions, series), series)
 
 
+def _settled_limit(raw: DataFrame, max_rows: int | None) -> int | None:
+    """The limit, or None once the raw samples show that no play exceeds it."""
+    samples = mechanics.league_positions_in_time(raw)
+    return settle(samples, mechanics.league_series(max_rows)).max_rows
+
+
 def _concussion_mechanics(samples: DataFrame, positions: DataFrame, series: Series) -> DataFrame:
     with_body = mechanics.attach_body(mechanics.correct_angles(samples), positions, "GSISID")
     return mechanics.mechanics(with_body, series)

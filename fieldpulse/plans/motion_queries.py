@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from fieldpulse.functions.angles import angle_difference
 from fieldpulse.operators import mechanics, pairing, slices
+from fieldpulse.operators.profile import rescale
 from fieldpulse.operators.rollup import path_rollup, turn_rollup
-from fieldpulse.operators.series import Series, with_elapsed, with_time_index
+from fieldpulse.operators.series import Series, settle, with_elapsed, with_time_index
 from fieldpulse.plans import inputs, jobs
 from fieldpulse.plans.inputs import rounded, with_sql
 
@@ -25,6 +26,10 @@ def parts(max_rows: int | None = LONG) -> Series:
     return Series("l_partkey", ("l_shipdate", "l_orderkey", "l_linenumber"), max_rows)
 
 
+def _settled(spark, folder, max_rows=LONG) -> Series:
+    return settle(inputs.event_samples(spark, folder), users(max_rows))
+
+
 def _bodied(spark, folder):
     turned = mechanics.correct_angles(inputs.event_samples(spark, folder))
     return mechanics.attach_body(turned, inputs.user_positions(spark, folder), "user_id")
@@ -76,7 +81,8 @@ def body_lookup(spark, folder):
 
 def _impulse(max_rows):
     def run(spark, folder):
-        moved = mechanics.mechanics(_bodied(spark, folder), users(max_rows))
+        series = _settled(spark, folder, max_rows)
+        moved = mechanics.mechanics(_bodied(spark, folder), series)
         return rounded(
             moved.select(
                 "user_id", "event_id", "px", "py", "moment", "moment_upper", "p_magnitude",
@@ -89,18 +95,17 @@ def _impulse(max_rows):
 
 def impulse_twelfth(spark, folder):
     """The two separate steps, with the early coefficient, brought to scale by 6."""
-    from fieldpulse.operators.profile import rescale
-
-    moved = mechanics.velocity(_bodied(spark, folder), users())
-    pushed = mechanics.impulse(moved, users(), inertia=1 / 12)
+    series = _settled(spark, folder)
+    moved = mechanics.velocity(_bodied(spark, folder), series)
+    pushed = mechanics.impulse(moved, series, inertia=1 / 12)
     scaled = rescale(pushed, 6.0, "moment", "L_dir", "torque")
     return rounded(scaled.select("user_id", "event_id", "moment", "L_dir", "torque"))
 
 
 def _path(max_rows):
     def run(spark, folder):
-        moved = mechanics.mechanics(_bodied(spark, folder), users(max_rows))
-        return rounded(path_rollup(moved, users(max_rows)))
+        series = _settled(spark, folder, max_rows)
+        return rounded(path_rollup(mechanics.mechanics(_bodied(spark, folder), series), series))
 
     return run
 
@@ -109,14 +114,16 @@ def path_rollup_omega(spark, folder):
     turned = mechanics.correct_angles(
         inputs.event_samples(spark, folder), 180.0, False, difference="angle_diff"
     )
-    moved = mechanics.dynamics(turned, users(), "ts")
-    return rounded(turn_rollup(moved, users()))
+    series = _settled(spark, folder)
+    return rounded(turn_rollup(mechanics.dynamics(turned, series, "ts"), series))
 
 
 def path_rollup_lineitem(spark, folder):
-    turned = mechanics.correct_angles(inputs.item_samples(spark, folder))
+    samples = inputs.item_samples(spark, folder)
+    series = settle(samples, parts())
+    turned = mechanics.correct_angles(samples)
     bodied = mechanics.attach_body(turned, inputs.part_positions(spark, folder), "l_partkey")
-    return rounded(path_rollup(mechanics.mechanics(bodied, parts()), parts()))
+    return rounded(path_rollup(mechanics.mechanics(bodied, series), series))
 
 
 def elapsed_time(spark, folder):

@@ -122,11 +122,12 @@ def narrow_plan(spark, folder):
 
 
 def narrowed(spark, folder):
-    """Lines with the numbers at their smallest fitting types."""
+    """Lines at their smallest fitting types and back, so that a lost value would show."""
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
     )
-    return profile.narrow(lines, profile.narrow_types(lines))
+    small = profile.narrow(lines, profile.narrow_types(lines))
+    return small.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in lines.schema.fields])
 
 
 def halved_precision(spark, folder):

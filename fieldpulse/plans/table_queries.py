@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from fieldpulse.functions import vocabulary
 from fieldpulse.functions import keys as K
 from fieldpulse.functions.columns import id_text, parse_timestamp
-from fieldpulse.operators import attributes, cleaning, pages, pairing, slices
-from fieldpulse.plans import inputs, jobs
+from fieldpulse.operators import attributes, cleaning, mechanics, pages, pairing, slices
+from fieldpulse.operators.rollup import path_rollup
+from fieldpulse.operators.series import Series, settle
+from fieldpulse.plans import inputs, jobs, motion_queries
 from fieldpulse.plans.inputs import rounded, sql_case, sql_pick, table, with_sql
 
 
@@ -293,13 +295,9 @@ def _user_attributes(spark, folder):
 
 
 def _user_summary(spark, folder, how):
-    from fieldpulse.operators import mechanics
-    from fieldpulse.operators.rollup import path_rollup
-    from fieldpulse.operators.series import Series
-
     samples = inputs.event_samples(spark, folder).withColumnRenamed("user_id", "PlayKey")
     positions = inputs.user_positions(spark, folder).withColumnRenamed("user_id", "PlayKey")
-    series = Series("PlayKey", ("ts", "event_id"), 1_000_000)
+    series = settle(samples, Series("PlayKey", ("ts", "event_id"), 1_000_000))
     bodied = mechanics.attach_body(mechanics.correct_angles(samples), positions)
     rolled = path_rollup(mechanics.mechanics(bodied, series), series)
     kept = rolled.select("PlayKey", "Position", "Distance", "Path_Diff", "Max_Torque")
@@ -439,14 +437,14 @@ _ORDER_SCORE = """scores AS (SELECT o_orderkey,
     ELSE 'at ' || (o_orderkey % 50) || '  - ' || (o_custkey % 45) END AS "Score_Home_Visiting"
   FROM orders)"""
 
-# The SQL of the roll-up is the one of the motion queries, with the user as play.
-def _summary_sql(join: str) -> str:
-    from fieldpulse.plans.motion_queries import ORACLES
 
+
+def _summary_sql(join: str) -> str:
+    """The SQL of the roll-up is the one of the motion queries, with the user as play."""
     case = sql_case(sql_pick(inputs.STADIUM_LABELS, "c_custkey"), vocabulary.STADIUM, "Outdoor")
     return f"""SELECT c_custkey AS "PlayKey", c_mktsegment, {case} AS "StadiumType",
   "Position" AS "Position_right", "Distance", "Path_Diff", "Max_Torque"
-FROM customer {join} JOIN ({ORACLES['path_rollup']}) rolled ON c_custkey = user_id"""
+FROM customer {join} JOIN ({motion_queries.ORACLES['path_rollup']}) rolled ON c_custkey = user_id"""
 
 
 _PAIRED_LINES = """lines AS (
