@@ -12,7 +12,7 @@ each chunk are handed to the next one through a small table.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -37,11 +37,13 @@ class Series:
     ``order`` must be unique within a key for results to be reproducible. With
     ``max_rows`` unset, the length of a series is taken as bounded by the data.
     When set, the first order column must be a number, date or timestamp.
+    ``cuts`` is filled by ``settle``.
     """
 
     key: tuple[str, ...]
     order: tuple[str, ...]
     max_rows: int | None = None
+    cuts: tuple[DataFrame, ...] | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self):
         for name in ("key", "order"):
@@ -92,50 +94,93 @@ def _scales(df: DataFrame, series: Series) -> list[Column]:
     return scales
 
 
-def long_keys(df: DataFrame, series: Series, keys: Sequence[str] | None = None) -> DataFrame:
-    """Groups with more than ``max_rows`` rows, with their count and extent."""
-    extent = []
+def _matching(names: dict[str, str]) -> Column:
+    """Columns equal to their renamed counterparts, null equal to null."""
+    condition = F.lit(True)
+    for name, renamed in names.items():
+        condition = condition & F.col(name).eqNullSafe(F.col(renamed))
+    return condition
+
+
+def long_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
+    """Groups with more than ``max_rows`` rows. Reads nothing but the keys."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > max_rows)
+    )
+
+
+def _bounded(df: DataFrame) -> DataFrame | None:
+    """The rows as a broadcast list when they are few, as they are when not, None when none."""
+    found = df.limit(BROADCAST_KEYS + 1).collect()
+    if not found:
+        return None
+    if len(found) > BROADCAST_KEYS:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
+def _extents(df: DataFrame, series: Series, keys: Sequence[str], long: DataFrame) -> DataFrame:
+    """Long groups with the first and last value of each order column that can be cut."""
+    names = {k: f"_long_{k}" for k in keys}
+    bounds = []
     for i, scale in enumerate(_scales(df, series)):
-        extent += [F.min(scale).alias(f"_lo{i}"), F.max(scale).alias(f"_hi{i}")]
+        bounds += [F.min(scale).alias(f"_lo{i}"), F.max(scale).alias(f"_hi{i}")]
     return (
-        df.groupBy(*(keys or series.key))
-        .agg(F.count(F.lit(1)).alias("_rows"), *extent)
-        .filter(F.col("_rows") > series.max_rows)
+        df.join(long.withColumnsRenamed(names), _matching(names), "inner")
+        .groupBy(*keys)
+        .agg(F.max("_rows").alias("_rows"), *bounds)
     )
 
 
+def plan_cuts(df: DataFrame, series: Series) -> tuple[DataFrame, ...]:
+    """How to cut the series that are too long; empty when none is.
+
+    Each level divides the long groups evenly along the order. Groups that stay
+    long because rows crowd together are divided again over their own extent. A
+    level is a table with a row per long group, so its size is at most the number
+    of rows over ``max_rows``.
+    """
+    _scales(df, series)  # Fails early for an order that cannot be cut.
+    cuts: list[DataFrame] = []
+    current, keys = df, list(series.key)
+    for _ in range(CUT_LEVELS):
+        long = _bounded(long_keys(current, keys, series.max_rows))
+        if long is None:
+            break
+        cut = _bounded(_extents(current, series, keys, long))
+        cuts.append(cut)
+        current = _divide(current, cut, series, keys).filter(_LONG)
+        keys = [*series.key, _CHUNK]
+    return tuple(cuts)
+
+
 def settle(df: DataFrame, series: Series) -> Series:
     """Measure a series once, on the narrowest table that has all of its rows.
 
-    When no key is too long, the result is the plain series, and steps further
-    down a plan need not count again what they would have to recompute.
+    Steps further down a plan then cut, or need not cut, without counting again
+    what they would have to recompute for it.
     """
-    if series.max_rows is None or not long_keys(df, series).isEmpty():
+    if series.max_rows is None:
         return series
-    return replace(series, max_rows=None)
+    cuts = plan_cuts(df, series)
+    return replace(series, cuts=cuts) if cuts else replace(series, max_rows=None)
 
 
 def _cut(df: DataFrame, series: Series) -> DataFrame | None:
     """Add chunk numbers, or give None when no key is too long.
 
-    A chunk number is a list: one entry per level, compared from the left. Each
-    level divides a long group evenly along the order; groups that stay long
-    because rows crowd together are divided again over their own extent.
+    A chunk number is a list with one entry per level, compared from the left.
     """
-    current = df
-    for level in range(CUT_LEVELS):
-        keys = [*series.key, _CHUNK] if level else list(series.key)
-        source = current.filter(_LONG) if level else current
-        counted = long_keys(source, series, keys)
-        found = counted.limit(BROADCAST_KEYS + 1).collect()
-        if not found:
-            return current if level else None
-        few = len(found) <= BROADCAST_KEYS
-        if few:
-            # At most BROADCAST_KEYS rows, counted just above.
-            counted = F.broadcast(df.sparkSession.createDataFrame(found, counted.schema))
-        current = _divide(current, counted, series, keys)
-    return current
+    if series.max_rows is None:
+        return None
+    cuts = plan_cuts(df, series) if series.cuts is None else series.cuts
+    current, keys = df, list(series.key)
+    for cut in cuts:
+        current = _divide(current, cut, series, keys)
+        keys = [*series.key, _CHUNK]
+    return current if cuts else None
 
 
 def _divide(df: DataFrame, counted: DataFrame, series: Series, keys: list[str]) -> DataFrame:
@@ -144,19 +189,16 @@ def _divide(df: DataFrame, counted: DataFrame, series: Series, keys: list[str])
     counted = counted.withColumnsRenamed(names).withColumn(
         _PARTS, F.ceil(F.col("_rows") * F.lit(OVERCUT) / F.lit(series.max_rows)).cast("long")
     )
-    condition = F.lit(True)
-    for name, renamed in names.items():
-        condition = condition & F.col(name).eqNullSafe(F.col(renamed))
-    joined = df.join(counted, condition, "left")
+    joined = df.join(counted, _matching(names), "left")
     number = F.lit(0).cast("long")
     for i, (name, scale) in reversed(list(enumerate(zip(series.order, scales)))):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         along = F.floor((scale - lo) / (hi - lo) * F.col(_PARTS))
         number = (
             F.when(F.col(_PARTS).isNull(), F.lit(0))
-            # Nulls sort before all values.
-            .when((hi > lo) & F.col(name).isNull(), F.lit(-1))
-            .when(hi > lo, F.least(F.col(_PARTS) - F.lit(1), along))
+            # Nulls sort before all values; a column of nothing but nulls is constant.
+            .when(lo.isNotNull() & F.col(name).isNull(), F.lit(-1))
+            .when(hi > lo, F.greatest(F.lit(0), F.least(F.col(_PARTS) - F.lit(1), along)))
             .otherwise(number)
             .cast("long")
         )
@@ -183,7 +225,7 @@ def look_back(
     """
     if steps not in (1, 2):
         raise ValueError("look_back goes one or two rows back")
-    cut = _cut(df, series) if series.max_rows else None
+    cut = _cut(df, series)
     if cut is None:
         w = series.window()
         added = {
@@ -277,11 +319,8 @@ def with_elapsed(
     starts = (
         df.groupBy(*key).agg(F.min(timestamp).alias("_start")).withColumnsRenamed(names)
     )
-    condition = F.lit(True)
-    for k, n in names.items():
-        condition = condition & F.col(k).eqNullSafe(F.col(n))
     return (
-        df.join(starts, condition, "left")
+        df.join(starts, _matching(names), "left")
         .withColumn(name, seconds_between(timestamp, "_start"))
         .drop("_start", *names.values())
     )

@@ -58,6 +58,12 @@ def test_long_key_with_constant_first_order_is_cut_along_the_next(spark):
     assert computed(spark, rows, 2, 10) == expected(rows, 2)
 
 
+@pytest.mark.parametrize("max_rows", [3, 9])
+def test_missing_and_constant_times_keep_their_order(spark, max_rows):
+    rows = [("hot", None if u % 3 == 0 else 5.0, (u * 7) % 40, float(u)) for u in range(40)]
+    assert computed(spark, rows, 2, max_rows) == expected(rows, 2)
+
+
 def test_crowded_rows_are_cut_again(spark):
     rows = [("hot", float(u) / 1000, u, 0.0) for u in range(200)] + [("hot", 1e6, 999, 0.0)]
     cut = S._cut(spark.createDataFrame(rows, SCHEMA), Series("k", ("t", "u"), 10))
@@ -70,13 +76,15 @@ def test_many_long_keys_join_without_broadcast(spark, monkeypatch):
     assert computed(spark, rows, 2, 5) == expected(rows, 2)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
-    st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 12)), min_size=1, max_size=40),
+    st.lists(
+        st.tuples(st.sampled_from(["a", "b", None]), st.none() | st.integers(0, 4)), min_size=1, max_size=40
+    ),
     st.integers(1, 6),
 )
 def test_any_series_and_any_limit(spark, pairs, max_rows):
-    rows = [(k, float(t), u, float(u * u)) for u, (k, t) in enumerate(pairs)]
+    rows = [(k, None if t is None else float(t), u, float(u * u)) for u, (k, t) in enumerate(pairs)]
     assert computed(spark, rows, 2, max_rows) == expected(rows, 2)
 
 
