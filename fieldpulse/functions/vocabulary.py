@@ -49,6 +49,9 @@ STADIUM = {
     "Indoors (Domed)": "Indoor",
 }
 
+# The first version of the vocabulary knew only the labels above up to "Outside".
+EARLY_STADIUM = {raw: STADIUM[raw] for raw in list(STADIUM)[:29]}
+
 # Play label -> class.
 PLAY = {
     "Kickoff Not Returned": "Kickoff",

@@ -44,16 +44,19 @@ def join_reviews(
     """Every player in every play with position, play, game and review attributes.
 
     A player listed under several jersey numbers gives a row per number; equal
-    rows are reduced to one.
+    rows occur once. The result holds every column taken from the inputs, so it
+    has no equal rows when the inputs have none: the narrow inputs are reduced
+    instead of the wide result.
     """
     joined = (
         roles.select("GameKey", "PlayID", "GSISID", "Role")
-        .join(positions.select("GSISID", "Number", "Position"), "GSISID", "left")
+        .distinct()
+        .join(positions.select("GSISID", "Number", "Position").distinct(), "GSISID", "left")
         .join(
             plays.select(
                 "GameKey", "PlayID", "YardLine", "Quarter", "Play_Type", "Poss_Team",
                 "Score_Home_Visiting", "Game_Date",
-            ),
+            ).distinct(),
             ["GameKey", "PlayID"],
             "left",
         )
@@ -61,7 +64,7 @@ def join_reviews(
             games.select(
                 "GameKey", "Game_Site", "Start_Time", "HomeTeamCode", "VisitTeamCode",
                 "StadiumType", "Turf", "GameWeather", "Temperature",
-            ),
+            ).distinct(),
             "GameKey",
             "left",
         )
@@ -69,7 +72,7 @@ def join_reviews(
             reviews.select(
                 "GameKey", "PlayID", "GSISID", "Player_Activity_Derived", "Primary_Impact_Type",
                 "Primary_Partner_Activity_Derived", "Primary_Partner_GSISID",
-            ),
+            ).distinct(),
             ["GameKey", "PlayID", "GSISID"],
             "left",
         )
@@ -101,7 +104,7 @@ def join_reviews(
         "Primary_Partner_Activity_Derived",
         cleaning.partner_id("Primary_Partner_GSISID").alias("Primary_Partner_GSISID"),
         build_key("Primary_Partner_GSISID", "GameKey", "PlayID").alias("OpponentKey"),
-    ).distinct()
+    )
 
 
 def lower_body_attributes(plays: DataFrame, injuries: DataFrame) -> DataFrame:

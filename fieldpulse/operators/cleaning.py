@@ -6,7 +6,7 @@ collapses into the scan stage.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +19,11 @@ MISSED_DAYS = ("DM_M1", "DM_M7", "DM_M28", "DM_M42")
 SCORE_PATTERN = r"(\d+)\s*-\s*(\d+)"
 
 
-def stadium_class(raw: Column | str) -> Column:
-    return replace_labels(raw, vocabulary.STADIUM, null_to="Outdoor")
+def stadium_class(
+    raw: Column | str, labels: Mapping[str, str] = vocabulary.STADIUM
+) -> Column:
+    """Indoor or Outdoor; ``vocabulary.EARLY_STADIUM`` gives the results of the first version."""
+    return replace_labels(raw, labels, null_to="Outdoor")
 
 
 def turf_class(raw: Column | str) -> Column:
@@ -42,8 +45,12 @@ def weather_class(
     )
 
 
-def clean_stadium(df: DataFrame, column: str = "StadiumType") -> DataFrame:
-    return df.withColumn(column, stadium_class(column))
+def clean_stadium(
+    df: DataFrame,
+    column: str = "StadiumType",
+    labels: Mapping[str, str] = vocabulary.STADIUM,
+) -> DataFrame:
+    return df.withColumn(column, stadium_class(column, labels))
 
 
 def clean_play_type(df: DataFrame, column: str = "PlayType") -> DataFrame:

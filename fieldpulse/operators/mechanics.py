@@ -17,7 +17,7 @@ from fieldpulse.functions import vocabulary
 from fieldpulse.functions.angles import angle_difference, heading, wrap_angle
 from fieldpulse.functions.columns import magnitude, parse_timestamp, seconds_between
 from fieldpulse.functions.keys import build_key
-from fieldpulse.operators.series import PLAY_SERIES, Series, back, look_back, with_time_index
+from fieldpulse.operators.series import MAX_ROWS, PLAY_SERIES, Series, back, look_back, with_time_index
 from fieldpulse.schemas import BODY
 from fieldpulse.sources.literals import literal_table
 
@@ -41,13 +41,13 @@ def league_positions_in_time(raw: DataFrame) -> DataFrame:
     )
 
 
-def league_series(max_rows: int | None = None) -> Series:
+def league_series(max_rows: int | None = MAX_ROWS) -> Series:
     """Samples of a play by clock; those with the same clock text by their values."""
     return Series("PlayKey", ("Time", "x", "y", "o", "dir"), max_rows)
 
 
 def standardize_samples(
-    raw: DataFrame, max_rows: int | None = None, step: float = SAMPLE_STEP
+    raw: DataFrame, max_rows: int | None = MAX_ROWS, step: float = SAMPLE_STEP
 ) -> DataFrame:
     """Raw league samples to the common layout: PlayKey, time, x, y, o, dir, GSISID.
 

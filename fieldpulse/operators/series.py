@@ -35,8 +35,8 @@ class Series:
     """Key columns and a total order within a key.
 
     ``order`` must be unique within a key for results to be reproducible. With
-    ``max_rows`` unset, the length of a series is taken as bounded by the data.
-    When set, the first order column must be a number, date or timestamp.
+    ``max_rows=None`` the length of a series is taken as bounded by the data and
+    nothing is counted. Otherwise the first order column must be a number, date or timestamp.
     ``cuts`` is filled by ``settle``.
     """
 
@@ -61,7 +61,10 @@ class Series:
         return F.struct(*self.order) if len(self.order) > 1 else F.col(self.order[0])
 
 
-PLAY_SERIES = Series("PlayKey", "time")
+# Above this many rows a key is no longer taken as one unit of work.
+MAX_ROWS = 1_000_000
+
+PLAY_SERIES = Series("PlayKey", "time", MAX_ROWS)
 
 
 def back(name: str, steps: int = 1) -> str:

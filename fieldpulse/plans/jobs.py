@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 
 from fieldpulse.operators import attributes, mechanics, pairing
 from fieldpulse.operators.rollup import path_rollup
-from fieldpulse.operators.series import Series, settle
+from fieldpulse.operators.series import MAX_ROWS, Series, settle
 from fieldpulse.sources import sinks
 from fieldpulse.sources.catalog import Catalog
 
-# Above this many samples a play is no longer taken as one unit of work.
-PLAY_ROWS = 1_000_000
+# Limit used by the jobs that write; see ``Series``.
+PLAY_ROWS = MAX_ROWS
 
 
-def lower_body_series(max_rows: int | None = None) -> Series:
+def lower_body_series(max_rows: int | None = MAX_ROWS) -> Series:
     return Series("PlayKey", ("time", "x", "y", "o", "dir"), max_rows)
 
 
 def lower_body_mechanics(
-    samples: DataFrame, plays: DataFrame, max_rows: int | None = None
+    samples: DataFrame, plays: DataFrame, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Mechanics of every sample of the lower-body set."""
     # Counted on the samples alone, before anything is joined to them.
@@ -35,7 +35,7 @@ def lower_body_mechanics(
 
 
 def lower_body_injured(
-    samples: DataFrame, plays: DataFrame, injuries: DataFrame, max_rows: int | None = None
+    samples: DataFrame, plays: DataFrame, injuries: DataFrame, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Mechanics of the injured plays only.
 
@@ -46,7 +46,7 @@ def lower_body_injured(
 
 
 def lower_body_summary(
-    samples: DataFrame, plays: DataFrame, injuries: DataFrame, max_rows: int | None = None
+    samples: DataFrame, plays: DataFrame, injuries: DataFrame, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Cleaned attributes and roll-up of every lower-body play."""
     moved = lower_body_mechanics(samples, plays, max_rows)
@@ -61,12 +61,12 @@ def summarize(attribute_rows: DataFrame, rolled: DataFrame, how: str = "inner")
     )
 
 
-def concussion_series(max_rows: int | None = None) -> Series:
+def concussion_series(max_rows: int | None = MAX_ROWS) -> Series:
     return Series("PlayKey", "time", max_rows)
 
 
 def concussion_tracking(
-    raw: DataFrame, positions: DataFrame, reviews: DataFrame, max_rows: int | None = None
+    raw: DataFrame, positions: DataFrame, reviews: DataFrame, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Mechanics of injured players and their opponents in reviewed plays.
 
@@ -80,14 +80,20 @@ def concussion_tracking(
     return _concussion_mechanics(paired, positions, series)
 
 
-def concussion_rollup(
-    raw: DataFrame, positions: DataFrame, max_rows: int | None = None
+def league_mechanics(
+    raw: DataFrame, positions: DataFrame, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
-    """Roll-up of every play of the concussion set, each counted once."""
+    """Mechanics of every sample of the concussion set, reviewed or not."""
     limit = _settled_limit(raw, max_rows)
-    series = concussion_series(limit)
     samples = mechanics.standardize_samples(raw, limit)
-    return path_rollup(_concussion_mechanics(samples, positions, series), series)
+    return _concussion_mechanics(samples, positions, concussion_series(limit))
+
+
+def concussion_rollup(
+    raw: DataFrame, positions: DataFrame, max_rows: int | None = MAX_ROWS
+) -> DataFrame:
+    """Roll-up of every play of the concussion set, each counted once."""
+    return path_rollup(league_mechanics(raw, positions, max_rows), concussion_series(max_rows))
 
 
 def _settled_limit(raw: DataFrame, max_rows: int | None) -> int | None:
@@ -108,7 +114,7 @@ def concussion_summary(
     plays: DataFrame,
     games: DataFrame,
     reviews: DataFrame,
-    max_rows: int | None = None,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Cleaned attributes and roll-up of every player in every play."""
     described = attributes.concussion_attributes(roles, positions, plays, games, reviews)

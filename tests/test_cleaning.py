@@ -34,6 +34,13 @@ def test_vocabulary_sizes():
     assert len(vocabulary.BODY) == 23
 
 
+def test_early_stadium_vocabulary(spark):
+    assert len(vocabulary.EARLY_STADIUM) == 29
+    df = labels(spark, ["Outside", "outdoor", None], "StadiumType")
+    found = cleaning.clean_stadium(df, labels=vocabulary.EARLY_STADIUM)
+    assert [r["StadiumType"] for r in found.collect()] == ["Outdoor", "outdoor", "Outdoor"]
+
+
 def weather(spark, rows):
     df = spark.createDataFrame(rows, "StadiumType string, Temperature smallint, Weather string")
     return [r["Weather"] for r in cleaning.clean_weather(df).collect()]
@@ -143,11 +150,14 @@ def concussion_tables(spark):
         [(1, 10, 7, "Tackling", "Helmet-to-body", "Unclear", None)],
         "GameKey int, PlayID int, GSISID int, Player_Activity_Derived string, Primary_Impact_Type string, "
         "Primary_Partner_GSISID string, Primary_Partner_Activity_Derived string")
+    # Every record twice: equal rows must not multiply.
+    roles, positions, plays, games, reviews = (t.unionAll(t) for t in (roles, positions, plays, games, reviews))
     return roles, positions, plays, games, reviews
 
 
 def test_join_reviews_keeps_every_role_and_number(spark):
     joined = attributes.join_reviews(*concussion_tables(spark))
+    assert joined.count() == 6
     found = {(r["PlayKey"], r["Number"], r["Primary_Partner_GSISID"], r["OpponentKey"]) for r in joined.collect()}
     assert found == {
         ("7-1-10", "80", 0, "Unclear-1-10"), ("7-1-10", "81", 0, "Unclear-1-10"),
