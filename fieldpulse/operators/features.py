@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldpulse.functions import vocabulary
 from fieldpulse.functions.columns import as_column
 from fieldpulse.operators.cleaning import flag
-from fieldpulse.operators.series import Series, look_back
+from fieldpulse.operators.series import Series, broadcast_if_few, look_back
 
 # Groups longer than this are numbered in parallel chunks.
 RANK_ROWS = 1_000_000
@@ -119,6 +119,22 @@ def random_rank(
     return look_back(hashed, series, [], index=out).drop("_hash")
 
 
+def ranked_share(
+    df: DataFrame, label: str, key: Sequence[str], seed: int, max_rows: int = RANK_ROWS
+) -> DataFrame:
+    """Add ``_rank`` within the class, from 0, and ``_size``, the rows of the class."""
+    ranked = random_rank(df, label, key, seed, max_rows, out="_rank")
+    # A shuffle by class would leave all tasks but a few idle, so the few class
+    # sizes go to the rows.
+    sizes = broadcast_if_few(
+        df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
+    )
+    if sizes is None:
+        return ranked.withColumn("_size", F.lit(0).cast("bigint"))
+    same = F.col(label).eqNullSafe(F.col("_class"))
+    return ranked.join(sizes, same, "left").drop("_class")
+
+
 def stratified_split(
     df: DataFrame,
     label: str,
@@ -128,12 +144,9 @@ def stratified_split(
     max_rows: int = RANK_ROWS,
 ) -> DataFrame:
     """Add ``is_test``: exactly the rounded ratio of every class, chosen by hash."""
-    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = random_rank(df, label, key, seed, max_rows, out="_rank")
-    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_class")), "left").select(
-        *df.columns,
-        (F.col("_rank") < F.round(F.col("_size") * F.lit(test_ratio), 0)).alias("is_test"),
-    )
+    ranked = ranked_share(df, label, key, seed, max_rows)
+    chosen = F.col("_rank") < F.round(F.col("_size") * F.lit(test_ratio), 0)
+    return ranked.select(*df.columns, chosen.alias("is_test"))
 
 
 def stratified_folds(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
-from fieldpulse.operators.features import random_rank, stratified_folds, with_class_weight
+from fieldpulse.operators.features import ranked_share, stratified_folds, with_class_weight
 from fieldpulse.session import ensure_checkpoint_dir
 from fieldpulse.sources.literals import literal_table
 
@@ -201,10 +201,8 @@ def learning_curve(
     A share is a range of the random rank within each class, so every share holds
     both classes in proportion and contains the smaller ones.
     """
-    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = random_rank(df, label, key, seed, out="_rank")
     folded = (
-        ranked.join(sizes, F.col(label).eqNullSafe(F.col("_class")), "left")
+        ranked_share(df, label, key, seed)
         .withColumns(
             {
                 "fold": (F.col("_rank") % folds).cast("int"),

@@ -114,8 +114,12 @@ def long_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
     )
 
 
-def _bounded(df: DataFrame) -> DataFrame | None:
-    """The rows as a broadcast list when they are few, as they are when not, None when none."""
+def broadcast_if_few(df: DataFrame) -> DataFrame | None:
+    """The rows as a broadcast list when they are few, as they are when not, None when none.
+
+    For reduced tables whose size Spark cannot foresee. At most BROADCAST_KEYS
+    rows and one are fetched.
+    """
     found = df.limit(BROADCAST_KEYS + 1).collect()
     if not found:
         return None
@@ -149,10 +153,10 @@ def plan_cuts(df: DataFrame, series: Series) -> tuple[DataFrame, ...]:
     cuts: list[DataFrame] = []
     current, keys = df, list(series.key)
     for _ in range(CUT_LEVELS):
-        long = _bounded(long_keys(current, keys, series.max_rows))
+        long = broadcast_if_few(long_keys(current, keys, series.max_rows))
         if long is None:
             break
-        cut = _bounded(_extents(current, series, keys, long))
+        cut = broadcast_if_few(_extents(current, series, keys, long))
         cuts.append(cut)
         current = _divide(current, cut, series, keys).filter(_LONG)
         keys = [*series.key, _CHUNK]

@@ -1,8 +1,5 @@
 import re
 
-import pytest
-
-import __spark_entry__ as entry
 from fieldpulse.operators import mechanics, pairing
 from fieldpulse.operators.rollup import path_rollup
 from fieldpulse.operators.series import Series
@@ -66,10 +63,3 @@ def test_pairs_come_from_one_scan_of_the_samples(spark, folder):
 def test_filters_reach_the_scan(spark, folder):
     assert "PushedFilters: [IsNotNull(value), GreaterThanOrEqual(value,150.0)" in plan(
         inputs.league_reviews(spark, folder))
-
-
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
-def test_no_python_in_the_plan(spark, folder, name):
-    text = entry.queries()[name](spark, folder)._jdf.queryExecution().toString()
-    assert "EvalPython" not in text and "MapInPandas" not in text and "FlatMapGroups" not in text
-    assert "CartesianProduct" not in text

@@ -28,6 +28,8 @@ def test_query_equals_sql(spark, folder, database, name):
     names = [d[0] for d in done.description]
     assert sorted(names) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, done.fetchall())
+    plan = df._jdf.queryExecution().toString()
+    assert not any(n in plan for n in ("EvalPython", "InPandas", "InArrow", "CartesianProduct"))
 
 
 def test_every_sql_has_a_query():

@@ -43,7 +43,7 @@ def hot(n=400, seed=1):
 
 
 @pytest.mark.parametrize("steps", [1, 2])
-@pytest.mark.parametrize("max_rows", [None, 1, 7, 50, 1000])
+@pytest.mark.parametrize("max_rows", [None, 1, 30])
 def test_cut_series_equal_plain_ones(spark, steps, max_rows):
     rows = hot()
     assert computed(spark, rows, steps, max_rows) == expected(rows, steps)
@@ -91,7 +91,7 @@ def test_any_series_and_any_limit(spark, pairs, max_rows):
 def test_settle(spark):
     df = spark.createDataFrame(hot(), SCHEMA)
     assert settle(df, Series("k", ("t", "u"), 1000)).max_rows is None
-    assert settle(df, Series("k", ("t", "u"), 10)).max_rows == 10
+    assert settle(df, Series("k", ("t", "u"), 100)).cuts
 
 
 def test_text_order_cannot_be_cut(spark):
