@@ -1,4 +1,4 @@
-"""The reference tables seen as tracking and attribute tables.
+"""The supplied tables seen as tracking and attribute tables.
 
 Every registered query reads one of these views. Each view is given twice: as a
 DataFrame and as a SQL common table expression for the comparison.
