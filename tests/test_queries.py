@@ -1,5 +1,6 @@
 """Registered queries against their SQL, on the smallest tables."""
 
+import re
 import sys
 from pathlib import Path
 
@@ -21,7 +22,11 @@ def database(folder):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+# The corpus queries have tests of their own.
+NAMES = [n for n in sorted(entry.oracle_sql()) if not re.match(r"op\d+_|pipeline", n)]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, folder, database, name):
     df = entry.queries()[name](spark, folder)
     done = database.execute(entry.oracle_sql()[name])
