@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import common, exact_dedup, line_dedup
+from fieldpulse.llm import common, decontaminate, exact_dedup, line_dedup, pii, sharding
 from fieldpulse.llm.common import LOWER, UPPER, table
 
 
@@ -13,6 +13,34 @@ def _hex(digest: str):
     return F.lower(F.hex(digest))
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    text = F.col("text")
+    # Narrow and read several times, so written once.
+    rows = common.settle(
+        docs.select(
+            "doc_id",
+            sharding.text_bytes(text).alias("size"),
+            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+            F.unhex(F.sha2(text, 256)).alias("digest"),
+        )
+    )
+    done = sharding.shard_rows(rows, "digest", "size", "doc_id")
+    return done.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = decontaminate.find_contamination(docs, table(spark, folder, "benchmark"))
+    return done.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     done = line_dedup.dedup_lines(docs)
@@ -30,12 +58,62 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs).drop("text")
+
+    def count(kind: str):
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select(
+        "doc_id", *[count(k) for k in pii.BASE_KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_pii": op10_pii,
 }
 
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER
+    + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
 ORACLES = {
+    "op2_decontamination": f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + least(len(w), {decontaminate.WINDOW_WORDS}) - 1) AS win
+  FROM (SELECT item_id, w,
+    unnest(range(1, len(w) - least(len(w), {decontaminate.WINDOW_WORDS}) + 2)) AS i
+    FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS k FROM windows),
+grams AS (
+  SELECT doc_id, i, k, list_slice(w, i, i + k - 1) AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes)),
+hits AS (SELECT doc_id, i, k, item_id FROM grams JOIN windows USING (win)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
     "op3_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
