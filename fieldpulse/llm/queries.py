@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import common, decontaminate, exact_dedup, line_dedup, pii, sharding
+from fieldpulse.llm import (
+    common,
+    decontaminate,
+    exact_dedup,
+    line_dedup,
+    packing,
+    pii,
+    sharding,
+    warc,
+)
 from fieldpulse.llm.common import LOWER, UPPER, table
 
 
@@ -58,6 +68,23 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents with their places in sequences."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = packing.tokenize_pieces(docs, "doc_id", "text", ranks)
+    return packing.pack_pieces(pieces)
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    files = warc.write_archives(table(spark, folder, "pages").select("page_id", "url", "html"))
+    records = warc.read_archives(files, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pii.find_pii(docs).drop("text")
@@ -82,6 +109,8 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op10_pii": op10_pii,
 }
 
@@ -133,4 +162,12 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
+    "op8_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS top, strlen(t) AS n FROM p)
+SELECT page_id, n AS payload_bytes, sha1(t) AS payload_digest,
+  CASE WHEN n >= {warc.LEAST_BYTES} AND page_id <> top THEN 'revisit' ELSE 'response' END
+    AS record_type,
+  CASE WHEN n >= {warc.LEAST_BYTES} AND page_id <> top THEN top END AS refers_to
+FROM g""",
 }
