@@ -11,9 +11,11 @@ from fieldpulse.llm import (
     decontaminate,
     exact_dedup,
     line_dedup,
+    ngram_join,
     packing,
     pii,
     sharding,
+    toxicity,
     warc,
 )
 from fieldpulse.llm.common import LOWER, UPPER, table
@@ -58,6 +60,15 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", kept)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     digest = common.text_digest(common.ascii_lower(F.col("text")))
@@ -85,6 +96,11 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs).drop("text")
+
+
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pii.find_pii(docs).drop("text")
@@ -108,9 +124,11 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
+    "op9_ngram_join": op9_ngram_join,
     "op10_pii": op10_pii,
 }
 
