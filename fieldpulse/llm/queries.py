@@ -15,6 +15,7 @@ from fieldpulse.llm import (
     packing,
     pii,
     sharding,
+    substring_dedup,
     toxicity,
     warc,
 )
@@ -79,6 +80,11 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substring_dedup.shared_passages(docs).withColumnRenamed("ref_id", "ref_doc_id")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -126,6 +132,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
