@@ -50,6 +50,6 @@ def is_unknown_play(key: Column | str) -> Column:
     return as_column(key).endswith("-0")
 
 
-def is_plausible_key(key: Column | str, longest: int = 12) -> Column:
+def is_plausible_key(key: Column | str) -> Column:
     """False for partner keys built from a word instead of a number."""
-    return F.length(as_column(key)) <= longest
+    return key_first(key).rlike("^[0-9]+$")

@@ -49,8 +49,11 @@ STADIUM = {
     "Indoors (Domed)": "Indoor",
 }
 
-# The first version of the vocabulary knew only the labels above up to "Outside".
-EARLY_STADIUM = {raw: STADIUM[raw] for raw in list(STADIUM)[:29]}
+# The first version of the vocabulary knew only the labels above up to this one.
+_LAST_EARLY = "Outside"
+EARLY_STADIUM = {
+    raw: STADIUM[raw] for raw in list(STADIUM)[: list(STADIUM).index(_LAST_EARLY) + 1]
+}
 
 # Play label -> class.
 PLAY = {

@@ -28,9 +28,9 @@ INERTIA = 0.5
 LARGEST_ID = 1_000_000
 
 
-def league_positions_in_time(raw: DataFrame) -> DataFrame:
+def league_positions_in_time(raw: DataFrame, plays: DataFrame | None = None) -> DataFrame:
     """Raw league samples with a play key and a parsed clock, without those of no valid id."""
-    return raw.filter(F.col("GSISID") <= LARGEST_ID).select(
+    samples = raw.filter(F.col("GSISID") <= LARGEST_ID).select(
         build_key(F.col("GSISID").cast("int"), "GameKey", "PlayID").alias("PlayKey"),
         parse_timestamp("Time").alias("Time"),
         "x",
@@ -39,6 +39,7 @@ def league_positions_in_time(raw: DataFrame) -> DataFrame:
         "dir",
         F.col("GSISID").cast("int").alias("GSISID"),
     )
+    return samples if plays is None else samples.join(plays, "PlayKey", "left_semi")
 
 
 def league_series(max_rows: int | None = MAX_ROWS) -> Series:
@@ -47,14 +48,19 @@ def league_series(max_rows: int | None = MAX_ROWS) -> Series:
 
 
 def standardize_samples(
-    raw: DataFrame, max_rows: int | None = MAX_ROWS, step: float = SAMPLE_STEP
+    raw: DataFrame,
+    max_rows: int | None = MAX_ROWS,
+    step: float = SAMPLE_STEP,
+    plays: DataFrame | None = None,
 ) -> DataFrame:
     """Raw league samples to the common layout: PlayKey, time, x, y, o, dir, GSISID.
 
     Drops samples without a valid id, parses the clock text and numbers the
     samples of a play. The result does not depend on the order of the files.
+    ``plays`` are the only PlayKeys that are wanted; other plays are left out before
+    anything is sorted, which changes no number, since plays do not see each other.
     """
-    samples = league_positions_in_time(raw)
+    samples = league_positions_in_time(raw, plays)
     return with_time_index(samples, league_series(max_rows), step).select(
         "PlayKey", "time", "x", "y", "o", "dir", "GSISID"
     )

@@ -12,7 +12,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    PCA,
+    Imputer,
+    OneHotEncoder,
+    OneHotEncoderModel,
+    StandardScaler,
+    StringIndexer,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +39,14 @@ COLUMN_SHARE = 0.8
 
 
 def feature_stages(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
-    """Scaled numbers, and one-hot categories if any, as one ``features`` vector."""
+    """Scaled numbers, and one-hot categories if any, as one ``features`` vector.
+
+    A missing number, null or NaN, stands for the mean of its column, which scales to 0.
+    """
+    filled = [f"_{c}_filled" for c in numeric]
     stages: list = [
-        VectorAssembler(inputCols=list(numeric), outputCol="_numbers", handleInvalid="keep"),
+        Imputer(inputCols=list(numeric), outputCols=filled, strategy="mean"),
+        VectorAssembler(inputCols=filled, outputCol="_numbers"),
         StandardScaler(
             inputCol="_numbers",
             outputCol="_scaled" if categorical else "features",
@@ -81,12 +94,22 @@ def train(
     return Pipeline(stages=stages).fit(weighted)
 
 
-def importances(model: PipelineModel, numeric: Sequence[str], spark) -> DataFrame:
-    """Numeric features by importance, largest first."""
+def importances(
+    model: PipelineModel, numeric: Sequence[str], spark, categorical: Sequence[str] = ()
+) -> DataFrame:
+    """All features by importance, largest first; a category has the sum over its values."""
     values = model.stages[-1].featureImportances.toArray()
-    rows = sorted(
-        ((name, float(value)) for name, value in zip(numeric, values)), key=lambda r: -r[1]
-    )
+    names = list(numeric)
+    for stage in model.stages:
+        if isinstance(stage, OneHotEncoderModel):
+            for name, size in zip(categorical, stage.categorySizes):
+                names += [name] * size
+    if len(names) != len(values):
+        raise ValueError(f"{len(values)} importances for {len(names)} slots of features")
+    totals = dict.fromkeys([*numeric, *categorical], 0.0)
+    for name, value in zip(names, values):
+        totals[name] += float(value)
+    rows = sorted(totals.items(), key=lambda r: -r[1])
     return literal_table(spark, rows, _pair("feature", "string", "importance", "double"))
 
 
@@ -101,12 +124,17 @@ def _pair(*names_and_types: str):
 
 
 def area_under_roc(scored: DataFrame, label: str) -> float:
-    return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC").evaluate(scored)
+    """Over every distinct score, not over bins of scores."""
+    return BinaryClassificationEvaluator(
+        labelCol=label, metricName="areaUnderROC", numBins=0
+    ).evaluate(scored)
 
 
 def average_precision(scored: DataFrame, label: str) -> float:
     """Area under the precision-recall curve."""
-    return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR").evaluate(scored)
+    return BinaryClassificationEvaluator(
+        labelCol=label, metricName="areaUnderPR", numBins=0
+    ).evaluate(scored)
 
 
 def classification_report(

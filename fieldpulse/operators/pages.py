@@ -88,8 +88,8 @@ def injury_report(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def link_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """List items of pages with the target and the text of their link."""
-    rows = page_rows(pages, "li", None, html)
+    """Every list item of the pages with the target and the text of its link."""
+    rows = page_rows(pages, "li", None, html, skip=0)
     kept = [c for c in rows.columns if c != "row_html"]
     return rows.select(
         *kept,

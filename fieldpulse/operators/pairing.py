@@ -44,6 +44,11 @@ def role_map(keyed_reviews: DataFrame) -> DataFrame:
     return injured.unionByName(opponent).filter(F.col("PlayKey").isNotNull())
 
 
+def reviewed_plays(keyed_reviews: DataFrame) -> DataFrame:
+    """PlayKeys of injured players and their opponents, each once."""
+    return role_map(keyed_reviews).select("PlayKey").distinct()
+
+
 _ROLE_COLUMNS = ("PlayerActivity", "ImpactType", "OpponentKey", "InjuryKey")
 
 

@@ -38,7 +38,7 @@ def percent_of_total(
 ) -> DataFrame:
     """Rows per combination and their share of all rows in percent."""
     counts = value_counts(df, *columns, out=count)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum(count)).scalar()
     return counts.withColumn(percent, F.col(count) * F.lit(100.0) / total)
 
 

@@ -1,6 +1,7 @@
 """Whole jobs: from source tables to tracking and summary tables.
 
-Each job is one lazy plan. Only the ``run_*`` functions write.
+Building a plan may count rows per key, to see whether a series must be cut; all else is
+lazy. Only the ``run_*`` functions write.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldpulse import schemas
 from fieldpulse.operators import attributes, mechanics, pairing
 from fieldpulse.operators.rollup import path_rollup
 from fieldpulse.operators.series import MAX_ROWS, Series, settle
@@ -70,23 +72,25 @@ def concussion_tracking(
 ) -> DataFrame:
     """Mechanics of injured players and their opponents in reviewed plays.
 
-    A play that is part of several reviews is tracked once for each; the
-    InjuryKey keeps these apart.
+    Each play is tracked once, on its own samples. The parts in reviews are attached
+    afterwards, so a play has its rows once for each review it is part of. Samples of
+    other plays are left out before anything is sorted.
     """
-    limit = _settled_limit(raw, max_rows)
-    samples = mechanics.standardize_samples(raw, limit)
-    paired = pairing.pair_samples(samples, pairing.review_keys(reviews), "tracking")
-    series = Series(("PlayKey", "InjuryKey", "OpponentKey"), "time", limit)
-    return _concussion_mechanics(paired, positions, series)
+    keyed = pairing.review_keys(reviews)
+    plays = pairing.reviewed_plays(keyed)
+    series = _settled_series(raw, max_rows, plays)
+    samples = mechanics.standardize_samples(raw, series.max_rows, plays=plays)
+    moved = _concussion_mechanics(samples, positions, series)
+    return pairing.pair_samples(moved, keyed, "tracking")
 
 
 def league_mechanics(
     raw: DataFrame, positions: DataFrame, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Mechanics of every sample of the concussion set, reviewed or not."""
-    limit = _settled_limit(raw, max_rows)
-    samples = mechanics.standardize_samples(raw, limit)
-    return _concussion_mechanics(samples, positions, concussion_series(limit))
+    series = _settled_series(raw, max_rows)
+    samples = mechanics.standardize_samples(raw, series.max_rows)
+    return _concussion_mechanics(samples, positions, series)
 
 
 def concussion_rollup(
@@ -96,10 +100,12 @@ def concussion_rollup(
     return path_rollup(league_mechanics(raw, positions, max_rows), concussion_series(max_rows))
 
 
-def _settled_limit(raw: DataFrame, max_rows: int | None) -> int | None:
-    """The limit, or None once the raw samples show that no play exceeds it."""
-    samples = mechanics.league_positions_in_time(raw)
-    return settle(samples, mechanics.league_series(max_rows)).max_rows
+def _settled_series(
+    raw: DataFrame, max_rows: int | None, plays: DataFrame | None = None
+) -> Series:
+    """Series without a limit once the raw samples show that no play exceeds it."""
+    samples = mechanics.league_positions_in_time(raw, plays)
+    return concussion_series(settle(samples, mechanics.league_series(max_rows)).max_rows)
 
 
 def _concussion_mechanics(samples: DataFrame, positions: DataFrame, series: Series) -> DataFrame:
@@ -134,7 +140,8 @@ def run_lower_body(spark: SparkSession, catalog: Catalog, out: str) -> None:
         attributes.lower_body_attributes(plays, injuries),
         path_rollup(written, lower_body_series(PLAY_ROWS)),
     )
-    sinks.write_parquet(summary, f"{out}/Summary_Injuries.parquet")
+    contract = schemas.INJURY_SUMMARY_TABLE
+    sinks.write_parquet(schemas.conform(summary, contract), f"{out}/Summary_Injuries.parquet")
 
 
 def run_concussions(spark: SparkSession, catalog: Catalog, out: str) -> None:

@@ -10,8 +10,6 @@ from fieldpulse.plans import inputs
 from fieldpulse.plans.inputs import rounded, sql_pick, table
 
 NUMBERS = ["n_chars", "n_words", "n_lines", "n_digits", "mean_word"]
-# Fewer trees than the default keep the registered runs short; the rows are all used.
-TREES = 10
 
 
 def _play_summaries(spark, folder):
@@ -78,6 +76,14 @@ def prediction_report(spark, folder):
     return rounded(model.classification_report(scored, "quality"))
 
 
+def length_metrics(spark, folder):
+    """Areas under the curves when the length of a text is taken as its score."""
+    scored = _document_features(spark, folder).select(
+        "quality", F.col("n_chars").cast("double").alias("rawPrediction")
+    )
+    return rounded(model.evaluate(scored, "quality"))
+
+
 def _document_features(spark, folder):
     """Lengths and counts of whole labelled texts."""
     text = F.col("text")
@@ -94,27 +100,27 @@ def _document_features(spark, folder):
 
 def gbt_metrics(spark, folder):
     data = features.stratified_split(_document_features(spark, folder), "quality", ["doc_id"])
-    trained = model.train(data.filter(~F.col("is_test")), "quality", NUMBERS, ["lang"], TREES)
+    trained = model.train(data.filter(~F.col("is_test")), "quality", NUMBERS, ["lang"])
     return model.evaluate(trained.transform(data.filter("is_test")), "quality")
 
 
 def feature_importance(spark, folder):
-    trained = model.train(_document_features(spark, folder), "quality", NUMBERS, trees=TREES)
-    return model.importances(trained, NUMBERS, spark)
+    trained = model.train(_document_features(spark, folder), "quality", NUMBERS, ["lang"])
+    return model.importances(trained, NUMBERS, spark, ["lang"])
 
 
 def forest_importance(spark, folder):
-    return model.forest_importances(_document_features(spark, folder), "quality", NUMBERS, TREES)
+    return model.forest_importances(_document_features(spark, folder), "quality", NUMBERS)
 
 
 def cv_auc(spark, folder):
     data = _document_features(spark, folder)
-    return model.cross_validated_auc(data, "quality", ["doc_id"], NUMBERS, trees=TREES // 2)
+    return model.cross_validated_auc(data, "quality", ["doc_id"], NUMBERS)
 
 
 def learning_curve(spark, folder):
     data = _document_features(spark, folder)
-    return model.learning_curve(data, "quality", ["doc_id"], NUMBERS, folds=2, trees=TREES // 2)
+    return model.learning_curve(data, "quality", ["doc_id"], NUMBERS)
 
 
 def pca_explained(spark, folder):
@@ -124,7 +130,7 @@ def pca_explained(spark, folder):
 def kmeans_elbow(spark, folder):
     data = _document_features(spark, folder)
     fitted, _ = model.principal_components(data, NUMBERS)
-    return model.kmeans_elbow(fitted.transform(data), ks=(2, 3, 4, 5))
+    return model.kmeans_elbow(fitted.transform(data))
 
 
 QUERIES = {
@@ -137,6 +143,7 @@ QUERIES = {
     "standardized_features": standardized_features,
     "class_weights": class_weights,
     "prediction_report": prediction_report,
+    "length_metrics": length_metrics,
     "gbt_metrics": gbt_metrics,
     "feature_importance": feature_importance,
     "forest_importance": forest_importance,
@@ -207,6 +214,23 @@ FROM summaries WHERE "IsInjured" = 1 GROUP BY 1, 2""",
     "class_weights": """SELECT doc_id, quality, toxic, round(CASE WHEN toxic = 1 THEN
   (SELECT count(*) FILTER (toxic = 0) / CAST(count(*) FILTER (toxic = 1) AS DOUBLE) FROM labels)
   ELSE 1 END, 4) AS weight FROM labels""",
+    "length_metrics": """WITH scored AS (
+  SELECT quality AS y, CAST(n_chars AS DOUBLE) AS s
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+steps AS (SELECT s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM scored GROUP BY s),
+cumulated AS (
+  SELECT s, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn
+  FROM steps WINDOW w AS (ORDER BY s DESC)),
+points AS (
+  SELECT s, tp / CAST(np AS DOUBLE) AS tpr, fp / CAST(nn AS DOUBLE) AS fpr,
+    tp / CAST(tp + fp AS DOUBLE) AS precision FROM cumulated),
+lagged AS (
+  SELECT *, lag(tpr, 1, 0) OVER w AS tpr0, lag(fpr, 1, 0) OVER w AS fpr0,
+    coalesce(lag(precision) OVER w, precision) AS precision0
+  FROM points WINDOW w AS (ORDER BY s DESC))
+SELECT 'area_under_roc' AS metric, round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 4) AS value FROM lagged
+UNION ALL
+SELECT 'average_precision', round(sum((tpr - tpr0) * (precision + precision0) / 2), 4) FROM lagged""",
     "prediction_report": """WITH scored AS (
   SELECT quality, CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS p
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),

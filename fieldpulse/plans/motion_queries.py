@@ -139,16 +139,20 @@ def league_play_samples(spark, folder):
 
 def _paired(method):
     def run(spark, folder):
-        samples = mechanics.standardize_samples(inputs.league_samples(spark, folder), LONG)
         reviews = pairing.review_keys(inputs.league_reviews(spark, folder))
+        plays = pairing.reviewed_plays(reviews) if method == "tracking" else None
+        raw = inputs.league_samples(spark, folder)
+        samples = mechanics.standardize_samples(raw, LONG, plays=plays)
         return rounded(pairing.pair_samples(samples, reviews, method))
 
     return run
 
 
 def reviewed_samples(spark, folder):
-    samples = mechanics.standardize_samples(inputs.league_samples(spark, folder), LONG)
     reviews = pairing.review_keys(inputs.league_reviews(spark, folder))
+    samples = mechanics.standardize_samples(
+        inputs.league_samples(spark, folder), LONG, plays=pairing.reviewed_plays(reviews)
+    )
     found = pairing.reviewed_samples(samples, reviews.drop("InjuryKey", "Primary_Partner_GSISID"))
     keyed = pairing.injury_keys(found)
     return rounded(keyed.select("PlayKey", "time", "x", "y", "OpponentKey", "InjuryKey"))
@@ -213,7 +217,7 @@ def _lower_injuries(spark, folder):
 
 
 def window_slice(spark, folder):
-    """Samples of the five seconds around the largest value of each user."""
+    """Samples up to 0.55 seconds before and after the largest value of each user."""
     timed = with_time_index(inputs.event_samples(spark, folder), users())
     peaks = timed.groupBy("user_id").agg(
         F.max_by("time", F.struct("x", "event_id")).alias("peak")
@@ -400,14 +404,13 @@ _PAIR_COLUMNS = (
     's."PlayKey", round(CAST(s.time AS DOUBLE), 4) AS time, round(x, 4) AS x, round(y, 4) AS y, round(o, 4) AS o, '
     'round(dir, 4) AS dir, s."GSISID", "PlayerActivity", "ImpactType", "OpponentKey", "InjuryKey"'
 )
-_PAIRED = """paired AS (
+_PAIRED = """tracked AS (
   SELECT s.*, "PlayerActivity", "ImpactType", "OpponentKey", "InjuryKey"
-  FROM samples s JOIN roles r ON s."PlayKey" = r."PlayKey")"""
-_TRACK_KEY = '"PlayKey", "InjuryKey", "OpponentKey"'
+  FROM pushed s JOIN roles r ON s."PlayKey" = r."PlayKey")"""
 _TRACKED = (
     _LEAGUE, inputs.SQL_LEAGUE_REVIEWS, inputs.SQL_LEAGUE_POSITIONS, inputs.SQL_BODY, _ROLES,
-    _PAIRED, _sql_turned("paired"), _sql_bodied("turned", '"GSISID"', "player"),
-    _sql_moved("bodied", _TRACK_KEY, "time"), _sql_pushed(_TRACK_KEY, "time"),
+    _sql_turned("samples"), _sql_bodied("turned", '"GSISID"', "player"),
+    _sql_moved("bodied", '"PlayKey"', "time"), _sql_pushed('"PlayKey"', "time"), _PAIRED,
 )
 
 _INJURED_USERS = """hurt AS (SELECT DISTINCT user_id, event_type FROM events WHERE value >= 150)"""
@@ -456,7 +459,8 @@ ORACLES = {
         """found AS (SELECT s.*, r."OpponentKey", r."Player_Activity_Derived"
   FROM samples s LEFT JOIN reviews r ON s."PlayKey" = r."PlayKey"
   WHERE s."PlayKey" IN (SELECT "PlayKey" FROM reviews) OR s."PlayKey" IN
-    (SELECT "OpponentKey" FROM reviews WHERE length("OpponentKey") <= 12))""",
+    (SELECT "OpponentKey" FROM reviews
+      WHERE regexp_full_match(split_part("OpponentKey", '-', 1), '[0-9]+')))""",
         """pairs AS (SELECT DISTINCT "PlayKey" AS injured, "OpponentKey" AS opponent FROM found
   WHERE "OpponentKey" IS NOT NULL)""",
     ) + """SELECT f."PlayKey", round(CAST(time AS DOUBLE), 4) AS time, round(x, 4) AS x,
@@ -467,7 +471,7 @@ FROM found f LEFT JOIN pairs p ON f."PlayKey" = p.opponent""",
   "PlayerActivity", "ImpactType", round(CAST(time AS DOUBLE), 4) AS time, "Position",
   round("Speed", 4) AS "Speed", round(p_magnitude, 4) AS p_magnitude,
   round("J_magnitude", 4) AS "J_magnitude", round(torque, 4) AS torque,
-  round(torque_internal, 4) AS torque_internal FROM pushed""",
+  round(torque_internal, 4) AS torque_internal FROM tracked""",
     "concussion_rollup": with_sql(
         _LEAGUE, inputs.SQL_LEAGUE_POSITIONS, inputs.SQL_BODY, _sql_turned("samples"),
         _sql_bodied("turned", '"GSISID"', "player"), _sql_moved("bodied", '"PlayKey"', "time"),
@@ -477,7 +481,7 @@ FROM found f LEFT JOIN pairs p ON f."PlayKey" = p.opponent""",
         *_TRACKED,
         "first AS (SELECT \"PlayKey\", CAST(time AS DOUBLE) AS time, x, y, \"Speed\", torque, "
         "CASE WHEN \"InjuryKey\" = \"PlayKey\" THEN 'Concussion' ELSE 'No Injury' END AS \"InjuryType\", "
-        '"InjuryKey", "PlayerActivity", "OpponentKey" FROM pushed)',
+        '"InjuryKey", "PlayerActivity", "OpponentKey" FROM tracked)',
         _INJURED_USERS,
         """esamples AS (SELECT user_id, ts, event_id, value AS x,
     CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y,

@@ -35,7 +35,10 @@ def key_split(spark, folder):
         K.key_after("line_key", 5).alias("after"),
         K.key_suffix("line_key", 1).alias("suffix"),
         K.is_unknown_play("line_key").alias("unknown_play"),
-        K.is_plausible_key("line_key", 9).alias("plausible"),
+        K.is_plausible_key(
+            F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Unclear-"), "line_key"))
+            .otherwise(F.col("line_key"))
+        ).alias("plausible"),
     )
 
 
@@ -461,7 +464,7 @@ ORACLES = {
     "key_split": """SELECT l_orderkey, l_partkey, line_key, split_part(line_key, '-', 1) AS "PlayerID",
   array_to_string(string_split(line_key, '-')[2:], '-') AS "GamePlay", left(line_key, 5) AS prefix,
   substr(line_key, 6) AS after, right(line_key, 1) AS suffix,
-  line_key LIKE '%-0' AS unknown_play, length(line_key) <= 9 AS plausible
+  line_key LIKE '%-0' AS unknown_play, l_linenumber % 2 <> 0 AS plausible
 FROM (SELECT *, l_suppkey || '-' || l_orderkey || '-' || (l_linenumber % 4) AS line_key FROM lineitem)""",
     "id_normalize": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN NULL
   ELSE CAST(o_orderkey AS VARCHAR) END AS id FROM orders""",
@@ -533,8 +536,7 @@ FROM events WHERE {_INJURED_PLAYERS} GROUP BY user_id""",
   replace(replace(replace(replace(replace(replace(regexp_replace(item, '<[^>]*>', '', 'g'),
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS label
 FROM (SELECT page_id, unnest(items) AS item, unnest(range(1, len(items) + 1)) AS n
-  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) AS items FROM pages))
-WHERE n > 1""",
+  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) AS items FROM pages))""",
     "injury_report": """SELECT c_custkey AS page_id, 1 AS row_number,
   CASE c_custkey % 3 WHEN 0 THEN 'l' || c_custkey || '.png' WHEN 1 THEN 's' || c_custkey || '.png'
     ELSE '' END AS logo, n_name AS team, c_name AS player, c_mktsegment AS position,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -132,12 +134,29 @@ INJURY_SUMMARY_TABLE = _schema(
 )
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Select and cast to a table contract; a missing column becomes a typed null."""
+def conform(df: DataFrame, schema: StructType, optional: Collection[str] = ()) -> DataFrame:
+    """Select and cast to a table contract.
+
+    A missing column raises, unless it is ``optional``: then it is a typed null. A value
+    that does not fit its type is null; ``failed_casts`` counts these.
+    """
     present = set(df.columns)
+    missing = [n for n in schema.names if n not in present and n not in optional]
+    if missing:
+        raise ValueError(f"columns missing from the table: {', '.join(missing)}")
 
     def column(name: str, data_type) -> Column:
         source = F.col(name) if name in present else F.lit(None)
         return source.try_cast(data_type).alias(name)
 
     return df.select(*[column(f.name, f.dataType) for f in schema.fields])
+
+
+def failed_casts(df: DataFrame, schema: StructType) -> DataFrame:
+    """Values per column that ``conform`` would turn into null, in one row."""
+    lost = [
+        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+        for f in schema.fields
+        if f.name in df.columns
+    ]
+    return df.agg(*lost)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -29,11 +27,10 @@ def local_session(cpus: int | str = "*", app: str = "fieldpulse") -> SparkSessio
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder for iterative models.
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Checkpoint folder for iterative models: the shared one in ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
-    session without that setting falls back to a temporary folder.
+    A local session without that setting goes without checkpoints.
     """
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir", None)
@@ -42,10 +39,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(shared)
         return shared
     current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
+    if not current and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="fieldpulse-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+    return current

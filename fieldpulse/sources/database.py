@@ -24,6 +24,10 @@ QUERIES: dict[str, str] = {
 }
 
 
+# Datasets with all samples, which are only read in parts.
+LARGE = ("ngs_data",)
+
+
 @dataclass(frozen=True)
 class Database:
     url: str
@@ -35,10 +39,13 @@ class Database:
     def query(self, spark: SparkSession, sql: str) -> DataFrame:
         return self._reader(spark).option("query", sql).load()
 
-    def named(self, spark: SparkSession, name: str) -> DataFrame:
+    def named(self, spark: SparkSession, name: str, **bounds) -> DataFrame:
+        """A known dataset; one that holds all samples needs the bounds that ``table`` takes."""
         if name not in QUERIES:
             raise ValueError(f"unknown dataset {name!r}, expected one of {sorted(QUERIES)}")
-        return self.query(spark, QUERIES[name])
+        if name in LARGE and not {"partition_column", "lower", "upper", "partitions"} <= set(bounds):
+            raise ValueError(f"{name!r} is too large for one task: give partition bounds")
+        return self.table(spark, f"({QUERIES[name]}) AS named", **bounds)
 
     def table(
         self,

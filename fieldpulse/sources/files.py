@@ -19,7 +19,7 @@ def read_csv(
 ) -> DataFrame:
     """CSV by a given schema. A bad field is null; surplus fields of a line are cut off.
 
-    The schema is never inferred: that would read the data twice and let a few
+    A header whose names differ from the schema, or stand in another order, raises. The schema is never inferred: that would read the data twice and let a few
     lines decide the types.
     """
     df = (
@@ -27,7 +27,7 @@ def read_csv(
         .option("header", header)
         .option("sep", delimiter)
         .option("mode", "PERMISSIVE")
-        .option("enforceSchema", True)
+        .option("enforceSchema", not header)
         .csv(path)
     )
     return df.select(*columns) if columns else df
@@ -59,7 +59,8 @@ def read_prefix(
     if file_format == "csv":
         if schema is None:
             raise ValueError("CSV files need a schema")
-        df = reader.option("header", True).option("mode", "PERMISSIVE").csv(folder)
+        reader = reader.option("header", True).option("enforceSchema", False)
+        df = reader.option("mode", "PERMISSIVE").csv(folder)
     elif file_format == "parquet":
         df = reader.parquet(folder)
     else:

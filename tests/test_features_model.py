@@ -95,6 +95,19 @@ def test_importances_sum_to_one(spark):
         assert sum(r["importance"] for r in rows) == pytest.approx(1)
 
 
+def test_importances_hold_categories_and_nulls_do_no_harm(spark):
+    rows = [(i, "yes" if i % 4 == 0 else "no", None if i % 9 == 2 else float(i % 5), float("nan") if i % 11 == 3 else 1.0 * (i % 7))
+            for i in range(400)]
+    df = spark.createDataFrame([(i, int(c == "yes"), c, a, b) for i, c, a, b in rows], "id int, y int, c string, a double, b double")
+    found = {r["feature"]: r["importance"] for r in
+             M.importances(M.train(df, "y", ["a", "b"], ["c"], trees=3), ["a", "b"], spark, ["c"]).collect()}
+    assert found["c"] > 0.9 and sum(found.values()) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        M.importances(M.train(df, "y", ["a", "b"], ["c"], trees=2), ["a", "b"], spark)
+    shares = [r["explained"] for r in M.principal_components(df, ["a", "b"], 2)[1].collect()]
+    assert sum(shares) == pytest.approx(1)
+
+
 def test_cross_validation_and_learning_curve(spark):
     df = imbalanced(spark, 200)
     folds = M.cross_validated_auc(df, "y", ["id"], ["a", "b"], folds=2, trees=2).collect()
@@ -124,4 +137,7 @@ def test_components_and_elbow(spark):
 def test_checkpoint_folder_of_the_session_is_used(spark):
     from fieldpulse.session import ensure_checkpoint_dir
 
+    # No folder of this machine is made up.
+    assert spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark) is None
+
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)

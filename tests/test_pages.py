@@ -30,10 +30,12 @@ def test_injury_report(spark):
 def test_link_rows(spark):
     html = '<ul><li>first</li><li><a class="x" href="/a">A&amp;B</a></li><li>none</li></ul>'
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
-    assert [tuple(r) for r in P.link_rows(df).collect()] == [(1, 1, "/a", "A&B"), (1, 2, "", "none")]
+    assert [tuple(r) for r in P.link_rows(df).collect()] == [
+        (1, 0, "", "first"), (1, 1, "/a", "A&B"), (1, 2, "", "none")
+    ]
 
 
 def test_whole_pages_are_read(spark):
     html = "<ul><li>0</li>" + "<p>" + "x" * 300_000 + "</p>" + "<li><a href='/end'>end</a></li></ul>"
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
-    assert [r["href"] for r in P.link_rows(df).collect()] == ["/end"]
+    assert [r["href"] for r in P.link_rows(df).collect()] == ["", "/end"]

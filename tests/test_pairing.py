@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldpulse.operators import mechanics
 from fieldpulse.operators import pairing as P
 from fieldpulse.operators import slices
+from fieldpulse.plans import jobs
 from fieldpulse.schemas import ALL_TRACKING_COLUMNS
 
 REVIEWS = (
@@ -38,6 +40,46 @@ def test_tracking_pairs(spark):
     ]
 
 
+def raw_samples(spark, players, n=5):
+    rows = [(1, 10, p, f"2017-01-01 00:00:0{t}.000", 1.0 * t * t, p % 5 + 0.5 * t, 10.0 * t, 5.0 * t * t)
+            for p in players for t in range(n)]
+    return spark.createDataFrame(rows, "GameKey int, PlayID int, p int, Time string, x double, y double, o double, dir double"
+                                 ).selectExpr("GameKey", "PlayID", "cast(p as decimal(10,1)) AS GSISID", "Time", "x", "y", "o", "dir")
+
+
+def test_a_pair_in_two_reviews_is_tracked_on_its_own_samples(spark):
+    raw = raw_samples(spark, (26035, 8, 5))
+    positions = spark.createDataFrame([(26035, "QB"), (8, "CB"), (5, "WR")], "GSISID int, Position string")
+    once = [(1, 10, 26035, "Tackling", "Helmet", "8", "Tackled")]
+    twice = [*once, (1, 10, 26035, "Blocking", "Body", "8", "Blocked")]
+    results = []
+    for rows in (once, twice):
+        tracked = jobs.concussion_tracking(raw, positions, spark.createDataFrame(rows, REVIEWS))
+        results.append([(r["PlayKey"], r["ImpactType"], round(r["time"], 1), r["Speed"], r["torque"]) for r in tracked.collect()])
+    alone, both = results
+    assert len(alone) == 10 and len(both) == 20
+    for impact in ("Helmet", "Body"):
+        same = sorted((k, "Helmet", *rest) for k, i, *rest in both if i == impact)
+        assert repr(same) == repr(sorted(alone))
+    assert sum(r[3] is None for r in both) == 4
+
+
+def test_windows_see_only_reviewed_plays(spark):
+    keyed = P.review_keys(spark.createDataFrame([(1, 10, 26035, "a", "b", "8", "c")], REVIEWS))
+    samples = mechanics.standardize_samples(raw_samples(spark, (26035, 8, 5)), None, plays=P.reviewed_plays(keyed))
+    assert {r["PlayKey"] for r in samples.collect()} == {"26035-1-10", "8-1-10"}
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")
+
+
+def test_long_opponent_keys_stay(spark):
+    rows = [(399, 3312, 26035, "a", "b", "31057", "c"), (10, 3, 7, "a", "b", "Unclear", "c")]
+    keyed = P.review_keys(spark.createDataFrame(rows, REVIEWS))
+    keys = ["26035-399-3312", "31057-399-3312", "7-10-3", "Unclear-10-3"]
+    df = spark.createDataFrame([(k, 0.0) for k in keys], "PlayKey string, time double")
+    assert {r["PlayKey"] for r in P.reviewed_samples(df, keyed).collect()} == set(keys[:3])
+
+
 def test_summary_pairs_keep_each_sample_once(spark):
     df = samples(spark)
     paired = P.pair_samples(df, reviews(spark), "summary")

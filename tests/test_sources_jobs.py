@@ -57,9 +57,12 @@ def test_tables(spark, tmp_path):
     sinks.load_table(spark, str(path), "punt_positions", schemas.PUNT_DATA, ";", header=False)
     loaded = spark.table("punt_positions")
     assert loaded.count() == 2
-    sinks.write_table(loaded.select("Position", F.lit("x").alias("extra")), "contracted", schemas.BODY)
+    with pytest.raises(ValueError):
+        sinks.write_table(loaded.select("Position"), "contracted", schemas.BODY)
+    whole = loaded.selectExpr("Position", "'x' AS extra", "2 AS Height_m", "1 AS Weight_kg", "0 AS Chest_rad_m")
+    sinks.write_table(whole, "contracted", schemas.BODY)
     row = spark.table("contracted").first()
-    assert list(row.asDict()) == ["Position", "Height_m", "Weight_kg", "Chest_rad_m"] and row["Height_m"] is None
+    assert list(row.asDict()) == ["Position", "Height_m", "Weight_kg", "Chest_rad_m"] and row["Height_m"] == 2.0
     spark.sql("DROP TABLE punt_positions")
     spark.sql("DROP TABLE contracted")
 
@@ -67,9 +70,31 @@ def test_tables(spark, tmp_path):
 def test_output_contracts(spark):
     summary = spark.createDataFrame([("k", "300", -5)], "PlayKey string, Temperature string, Score_Difference int")
     for contract in (schemas.TRACKING_TABLE, schemas.CONCUSSION_SUMMARY_TABLE, schemas.INJURY_SUMMARY_TABLE):
-        assert schemas.conform(summary, contract).schema.names == contract.names
-    row = schemas.conform(summary, schemas.CONCUSSION_SUMMARY_TABLE).first()
+        with pytest.raises(ValueError):
+            schemas.conform(summary, contract)
+        assert schemas.conform(summary, contract, contract.names).schema.names == contract.names
+    contract = schemas.CONCUSSION_SUMMARY_TABLE
+    row = schemas.conform(summary, contract, contract.names).first()
     assert (row["Score_Difference"], row["Temperature"]) == (-5, 300.0)
+    odd = spark.createDataFrame([("k", "warm", 70_000), ("k", None, 1)], summary.schema)
+    lost = schemas.failed_casts(odd, contract).first()
+    assert (lost["PlayKey"], lost["Temperature"], lost["Score_Difference"]) == (0, 1, 1)
+
+
+def test_csv_header_must_match(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    (tmp_path / "t.csv").write_text("y,x\n1,2\n")
+    schema = StructType().add("x", "double").add("y", "double")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, str(tmp_path / "t.csv"), schema).collect()
+    good = files.read_csv(spark, str(tmp_path / "t.csv"), StructType().add("y", "double").add("x", "double"))
+    assert good.select("x").first()["x"] == 2.0
+
+
+def test_large_dataset_needs_bounds(spark):
+    with pytest.raises(ValueError):
+        Database("jdbc:none:").named(spark, "ngs_data")
 
 
 def test_catalog_names(spark, tmp_path):
