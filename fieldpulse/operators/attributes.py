@@ -34,6 +34,11 @@ def join_injuries(plays: DataFrame, injuries: DataFrame) -> DataFrame:
     return joined.select(*[F.col(c).try_cast(t).alias(c) for c, t in _LOWER_BODY_TYPES.items()])
 
 
+def _once(df: DataFrame, *keys: str) -> DataFrame:
+    """Equal rows once, placed by the keys of the join that follows, so that it moves them no more."""
+    return df.repartition(*keys).distinct()
+
+
 def join_reviews(
     roles: DataFrame,
     positions: DataFrame,
@@ -49,30 +54,39 @@ def join_reviews(
     instead of the wide result.
     """
     joined = (
-        roles.select("GameKey", "PlayID", "GSISID", "Role")
-        .distinct()
-        .join(positions.select("GSISID", "Number", "Position").distinct(), "GSISID", "left")
+        _once(roles.select("GameKey", "PlayID", "GSISID", "Role"), "GSISID")
+        .join(_once(positions.select("GSISID", "Number", "Position"), "GSISID"), "GSISID", "left")
         .join(
-            plays.select(
-                "GameKey", "PlayID", "YardLine", "Quarter", "Play_Type", "Poss_Team",
-                "Score_Home_Visiting", "Game_Date",
-            ).distinct(),
+            _once(
+                plays.select(
+                    "GameKey", "PlayID", "YardLine", "Quarter", "Play_Type", "Poss_Team",
+                    "Score_Home_Visiting", "Game_Date",
+                ),
+                "GameKey", "PlayID",
+            ),
             ["GameKey", "PlayID"],
             "left",
         )
         .join(
-            games.select(
-                "GameKey", "Game_Site", "Start_Time", "HomeTeamCode", "VisitTeamCode",
-                "StadiumType", "Turf", "GameWeather", "Temperature",
-            ).distinct(),
+            _once(
+                games.select(
+                    "GameKey", "Game_Site", "Start_Time", "HomeTeamCode", "VisitTeamCode",
+                    "StadiumType", "Turf", "GameWeather", "Temperature",
+                ),
+                "GameKey",
+            ),
             "GameKey",
             "left",
         )
         .join(
-            reviews.select(
-                "GameKey", "PlayID", "GSISID", "Player_Activity_Derived", "Primary_Impact_Type",
-                "Primary_Partner_Activity_Derived", "Primary_Partner_GSISID",
-            ).distinct(),
+            _once(
+                reviews.select(
+                    "GameKey", "PlayID", "GSISID", "Player_Activity_Derived",
+                    "Primary_Impact_Type", "Primary_Partner_Activity_Derived",
+                    "Primary_Partner_GSISID",
+                ),
+                "GameKey", "PlayID", "GSISID",
+            ),
             ["GameKey", "PlayID", "GSISID"],
             "left",
         )
