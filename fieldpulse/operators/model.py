@@ -6,7 +6,8 @@ of bounded size and a few metrics.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -37,6 +38,9 @@ TREES = 100
 ROW_SHARE = 0.8
 COLUMN_SHARE = 0.8
 
+# Models trained at the same time when folds are compared.
+TRAININGS_AT_ONCE = 5
+
 
 def feature_stages(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
     """Scaled numbers, and one-hot categories if any, as one ``features`` vector.
@@ -192,10 +196,10 @@ def cross_validated_auc(
     """AUC on each stratified fold, with the mean and two standard deviations."""
     folded = stratified_folds(df, label, key, folds, seed).persist()
     try:
-        scores = [
-            (i, _auc_without(folded, folded, i, label, numeric, trees, seed)[1])
-            for i in range(folds)
-        ]
+        found = _side_by_side(
+            lambda i: _auc_without(folded, folded, i, label, numeric, trees, seed), range(folds)
+        )
+        scores = [(i, auc) for i, (_, auc) in enumerate(found)]
     finally:
         folded.unpersist()
     table = literal_table(df.sparkSession, scores, _pair("fold", "int", "auc", "double"))
@@ -204,6 +208,12 @@ def cross_validated_auc(
     return table.withColumns({"mean_auc": mean, "two_sigma": spread})
 
 
+def _side_by_side(run: Callable, over: Iterable) -> list:
+    """Results in order; several trainings are submitted at once, since each is many small jobs."""
+    with ThreadPoolExecutor(TRAININGS_AT_ONCE) as pool:
+        return list(pool.map(run, over))
+
+
 def _auc_without(folded, training_rows, fold, label, numeric, trees, seed) -> tuple[float, float]:
     """Train outside the fold; AUC on the training rows and on the fold."""
     training = training_rows.filter(F.col("fold") != fold)
@@ -240,12 +250,15 @@ def learning_curve(
         .persist()
     )
     try:
+        def score(run: tuple[float, int]) -> tuple[float, float]:
+            part = folded.filter(F.col("_part") <= run[0])
+            return _auc_without(folded, part, run[1], label, numeric, trees, seed)
+
+        found = _side_by_side(score, [(share, i) for share in shares for i in range(folds)])
         rows = []
-        for share in shares:
+        for n, share in enumerate(shares):
             part = folded.filter(F.col("_part") <= share)
-            scores = [
-                _auc_without(folded, part, i, label, numeric, trees, seed) for i in range(folds)
-            ]
+            scores = found[n * folds : (n + 1) * folds]
             rows.append(
                 (
                     float(share),
