@@ -6,7 +6,7 @@ expanded into pairs: the sets of a bucket are verified against a few centres, on
 n-gram sets of the texts. Jaccard distance is a metric, so a set that is linked to a
 centre, and closer to it by more than the threshold distance than anything the centre is
 not linked to, has no link that the centre does not stand for. Only sets that this does
-not settle go on to the next round, which has twice as many centres.
+not settle go on to the next round, which has four times as many centres.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +43,22 @@ def banding(threshold: float, recall: float = RECALL, chance: float = CHANCE) ->
     return bands, rows
 
 
-def signature(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A hash per band of the minima of a set under bands times rows permutations."""
+@lru_cache(maxsize=4)
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts; the product with a well mixed hash orders like a new hash."""
     rng = np.random.default_rng(_SEED)
-    n = bands * rows
     factors = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048, None] * factors[None, :] + shifts[None, :]
-        np.minimum(least, (part ^ (part >> np.uint64(29))).min(axis=0), out=least)
+    return factors, rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def signature(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A hash per band of the minima of a set under bands times rows permutations."""
+    factors, shifts = _permutations(bands * rows)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 256):  # fits a cache
+        part = hashes[at : at + 256, None] * factors
+        part += shifts
+        np.minimum(least, part.min(axis=0), out=least)
     mixed = np.zeros(bands, np.uint64)
     for column in least.reshape(bands, rows).T:
         mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -113,67 +120,73 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(_jaccard(pairs.join(other, "_centre").join(texts, "_digest")))
 
 
-def links_of_buckets(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """Edges (_digest, _centre) that connect all linked sets which share a bucket.
+def classes_of_buckets(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(_node, _class): the connected sets among those that share a bucket.
 
-    ``members`` is (_bucket, _digest), ``texts`` (_digest, _text).
+    ``members`` is (_bucket, _digest), ``texts`` (_digest, _text). Each round verifies the
+    sets of a bucket against its centres, and drops the centres, the sets that a centre
+    stands for, and the buckets whose sets are all of one class by now.
     """
     reach = 1 - threshold + 1e-9
-    edges, centres_each, known = [], 1, None
-    while not members.isEmpty():
+    edges, known, classes, centres_each = None, None, None, 1
+    members = members.withColumn("_class", F.col("_digest"))
+    while True:
         # The smallest digest of each of so many parts, aggregated before it is shuffled.
         part = F.pmod(F.xxhash64("_digest"), F.lit(centres_each)).alias("_part")
         firsts = members.groupBy("_bucket", part).agg(
-            F.min("_digest").alias("_centre"), F.count(F.lit(1)).alias("_n")
+            F.min(F.struct("_digest", "_class")).alias("_c"), F.count(F.lit(1)).alias("_n")
         )
         sizes = settle(
-            firsts.groupBy("_bucket").agg(
-                F.collect_list("_centre").alias("_centres"), F.sum("_n").alias("_n")
-            )
+            firsts.groupBy("_bucket").agg(F.collect_list("_c").alias("_centres"), F.sum("_n").alias("_n"))
         )
+        if sizes.isEmpty():
+            break
         met = settle(
             attach_groups(members, sizes, "_bucket", "_n", members.count())
-            .select("_bucket", "_digest", F.explode("_centres").alias("_centre"))
-            .filter("_digest <> _centre")
+            .select("_bucket", "_digest", "_class", F.explode("_centres").alias("_c"))
+            .filter("_class <> _c._class")
+            .select("_bucket", "_digest", F.col("_c._digest").alias("_centre"))
         )
         pairs = met.select("_digest", "_centre").distinct()
         if known is not None:
             pairs = pairs.join(known, ["_digest", "_centre"], "left_anti")
         fresh = _verified(pairs, texts)
-        edges.append(fresh.filter(F.col("_far") <= reach).select("_digest", "_centre"))
         known = fresh if known is None else known.unionByName(fresh)
-        measured = settle(met.join(known, ["_digest", "_centre"]))
-        # The nearest set that the centre is not linked to, if any.
-        nearest = measured.groupBy("_bucket", "_centre").agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(F.when(F.col("_far") > reach, F.col("_far"))).alias("_least"),
+        linked = fresh.filter(F.col("_far") <= reach).select("_digest", "_centre")
+        edges = linked if edges is None else edges.unionByName(linked)
+        measured = settle(
+            met.join(known, ["_digest", "_centre"]).withColumn("_spot", F.xxhash64("_bucket", "_centre"))
         )
-        nearest = settle(nearest.withColumn("_spot", F.xxhash64("_bucket", "_centre")))
-        judged = attach_groups(
-            measured.withColumn("_spot", F.xxhash64("_bucket", "_centre")),
-            nearest.select("_spot", "_n", "_least"), "_spot", "_n", measured.count(),
+        # The nearest set that the centre is not linked to, if any.
+        nearest = settle(
+            measured.groupBy("_spot").agg(
+                F.count(F.lit(1)).alias("_n"),
+                F.min(F.when(F.col("_far") > reach, F.col("_far"))).alias("_least"),
+            )
         )
+        judged = attach_groups(measured, nearest, "_spot", "_n", measured.count())
         stands = (F.col("_far") <= reach) & (
             F.col("_least").isNull() | (F.col("_far") + reach < F.col("_least"))
         )
-        left = (
-            judged.groupBy("_bucket", "_digest")
-            .agg(F.max(stands.cast("int")).alias("_settled"))
-            .filter("_settled = 0")
-            .join(met.select("_bucket", F.col("_centre").alias("_digest")).distinct(),
-                  ["_bucket", "_digest"], "left_anti")
-            .select("_bucket", "_digest")
+        done = judged.filter(stands).select("_bucket", "_digest").unionByName(
+            sizes.select("_bucket", F.explode("_centres._digest").alias("_digest"))
         )
-        members = settle(left)
-        alone = members.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        members = settle(members.join(alone.select("_bucket"), "_bucket", "left_semi"))
-        centres_each *= 2
-    if not edges:
-        return None
-    result = edges[0]
-    for part in edges[1:]:
-        result = result.unionByName(part)
-    return settle(result.distinct())
+        classes = components(edges)
+        left = settle(
+            members.select("_bucket", "_digest")
+            .join(done.distinct(), ["_bucket", "_digest"], "left_anti")
+            .join(classes.withColumnRenamed("_node", "_digest"), "_digest", "left")
+            .select("_bucket", "_digest", F.coalesce("_class", "_digest").alias("_class"))
+        )
+        open_buckets = (
+            left.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b"))
+            .filter("_a < _b").select("_bucket")
+        )
+        members = settle(left.join(open_buckets, "_bucket", "left_semi"))
+        centres_each *= 4
+    if classes is None:
+        return members.select(F.col("_digest").alias("_node"), "_class")
+    return classes
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,26 +305,21 @@ def near_duplicates(
     texts = settle(
         needed.join(whole, ["_key", "_row"]).groupBy("_digest").agg(F.any_value("_text").alias("_text"))
     )
-    edges = links_of_buckets(members, texts, threshold)
-    classes = sets.select("_digest", "_copies", "_first", F.col("_digest").alias("_class"))
-    if edges is not None:
-        linked = components(edges).withColumnRenamed("_node", "_digest")
-        classes = settle(
-            sets.select("_digest", "_copies", "_first")
-            .join(linked, "_digest", "left")
-            .withColumn("_class", F.coalesce("_class", "_digest"))
-        )
+    connected = classes_of_buckets(members, texts, threshold)
+    classes = settle(
+        sets.select("_digest", "_copies", "_first")
+        .join(connected.withColumnRenamed("_node", "_digest"), "_digest", "left")
+        .withColumn("_class", F.coalesce("_class", "_digest"))
+    )
     totals = classes.groupBy("_class").agg(
         F.sum("_copies").alias("_size"), F.min("_first").alias("_name"), F.count(F.lit(1)).alias("_sets")
     )
     named = classes.join(totals, "_class")
     counted = F.lit(None).cast("long")
-    if links and edges is not None:
+    if links:
         several = named.filter("_sets > 1").select("_digest", "_class", "_copies")
         named = named.join(count_links(several, texts, threshold), "_digest", "left")
         counted = F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))
-    elif links:
-        counted = F.col("_copies") - 1
     final = settle(
         named.select("_digest", "_copies", "_size", "_name", counted.cast("long").alias("_links"))
     )
