@@ -141,10 +141,10 @@ def classes_of_buckets(members: DataFrame, texts: DataFrame, threshold: float) -
         )
         if sizes.isEmpty():
             break
+        others = F.filter("_centres", lambda c: c["_class"] != F.col("_class"))
         met = settle(
             attach_groups(members, sizes, "_bucket", "_n", members.count())
-            .select("_bucket", "_digest", "_class", F.explode("_centres").alias("_c"))
-            .filter("_class <> _c._class")
+            .select("_bucket", "_digest", F.explode(others).alias("_c"))
             .select("_bucket", "_digest", F.col("_c._digest").alias("_centre"))
         )
         pairs = met.select("_digest", "_centre").distinct()
