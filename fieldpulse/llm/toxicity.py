@@ -99,11 +99,12 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 
     In the first epoch each text is taken as the set of its words, so that all of them
     have a vote before the model chooses a passage. Classes count alike. Without texts of both classes
-    the model gives one half to every text.
+    every text has the score of the known class by its count: below one half when no text is
+    toxic, also when there is none at all.
     """
     y = np.asarray(labels, dtype=np.int64)
     if len(set(labels)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 2))))
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     tokens = [

@@ -47,3 +47,13 @@ def test_run_takes_an_empty_and_an_odd_table(spark, tmp_path):
         found = corpus_pipeline.run(spark, str(where)).collect()
         assert bool(found) == bool(rows)
     assert {r.doc_id for r in found} >= {1, None, 3}
+
+
+def test_documents_stay_when_no_toxic_row_is_known(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(d, " ".join(f"word{d}x{i}" for i in range(40)), "en", "a", 5) for d in range(10)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, labels, stay in (("none", [], 10), ("clean", [(d, 0) for d in range(10)], 10), ("toxic", [(d, 1) for d in range(10)], 0)):
+        where = tmp_path / name
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(where / "labels.parquet"))
+        assert corpus_pipeline.drop_toxic(spark, docs, str(where)).count() == stay
