@@ -10,7 +10,9 @@ from fieldpulse.llm import (
     common,
     decontaminate,
     exact_dedup,
+    lexical,
     line_dedup,
+    neighbours,
     ngram_join,
     packing,
     pii,
@@ -18,6 +20,7 @@ from fieldpulse.llm import (
     substring_dedup,
     toxicity,
     warc,
+    whitening,
 )
 from fieldpulse.llm.common import LOWER, UPPER, table
 
@@ -126,6 +129,21 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return neighbours.nearest_neighbours(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    done = whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    # Beyond a long (some 400,000 rows of this spread) the exact value is the operator's decimal.
+    return done.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -137,6 +155,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
     "op10_pii": op10_pii,
+    "op11_neighbours": op11_neighbours,
+    "op12_whitening": op12_whitening,
+    "op13_lexical": op13_lexical,
 }
 
 _SQL_WORDS = (
@@ -195,4 +216,34 @@ SELECT page_id, n AS payload_bytes, sha1(t) AS payload_digest,
     AS record_type,
   CASE WHEN n >= {warc.LEAST_BYTES} AND page_id <> top THEN top END AS refers_to
 FROM g""",
+    "op11_neighbours": f"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(
+    list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM p)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= {neighbours.NEAREST}""",
+    "op13_lexical": f"""
+WITH d AS (
+  SELECT doc_id, len(w) AS n, w FROM (SELECT doc_id, {_SQL_WORDS} AS w FROM documents) WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+tf AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d)
+  GROUP BY doc_id, n, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_SQL_WORDS}) AS term FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(
+    CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // words))))) AS BIGINT) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) CROSS JOIN total GROUP BY item_id, doc_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n
+  FROM s WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM r WHERE n <= {lexical.TOP}""",
 }
