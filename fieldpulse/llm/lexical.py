@@ -23,26 +23,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldpulse.llm.common import LOWER, UPPER, Sealed, settle
-from fieldpulse.llm.shingles import WordHashes
+from fieldpulse.llm.common import Sealed, settle
+from fieldpulse.llm.shingles import WordHashes, lowered
 
 TOP = 50
 # Fixed value: what a term is made of, after A to Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Rows a key sets, rows for each key of the fullest document, and bits of a block.
-HASHES = 3
-ROWS_PER_KEY = 12
-BLOCK_BITS = 1 << 23
+HASHES = 6
+ROWS_PER_KEY = 20
+BLOCK_BITS = 1 << 24
 BLOCK_DOCUMENTS = 4096
 # Counts are told apart up to 2 ** (TIERS - 1); beyond that the document's length is the bound.
 TIERS = 7
 # Distinct terms whose document counts a task gathers before it hands them on.
 TERMS_AT_ONCE = 200_000
+# Documents scored for a first threshold, as a multiple of those asked for.
+LEADERS = 2
 # Items searched for at once, and candidates that are sent to the texts as a broadcast.
 BLOCK_ITEMS = 256
 MAX_BROADCAST = 200_000
 
-_LOWER = str.maketrans(UPPER, LOWER)
 _TERM = re.compile(TERM)
 _TIER = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -51,7 +52,7 @@ _TERMS = 512
 
 
 def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").translate(_LOWER))
+    return _TERM.findall(lowered(text or ""))
 
 
 def weight(documents: int, holding: int) -> int:
@@ -133,8 +134,8 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             terms = list(counts)
             holding.update(terms)
             own, often = hashes.of(terms), np.fromiter(counts.values(), np.int64, len(counts))
-            keys = [_keys(own[often >= 1 << tier], tier) for tier in range(TIERS)]
-            keys = np.concatenate(keys)
+            tiers = min(TIERS, int(often.max()).bit_length())
+            keys = np.concatenate([_keys(own[often >= 1 << tier], tier) for tier in range(tiers)])
             size = max(4, int(len(keys) - 1).bit_length())
             block = open_blocks.get(size)
             if block is None:
@@ -242,7 +243,7 @@ def _listed(chosen: np.ndarray, ids: list) -> pa.RecordBatch:
 
 
 def _leaders(index: DataFrame, sent, top: int) -> DataFrame:
-    """Documents with the highest bounds for each item, as many as ``top`` of every block."""
+    """The ``top`` documents with the highest bounds for each item."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = sent.value
@@ -387,8 +388,8 @@ def _search(spark, texts, index, blocks, documents, length, asks, top) -> DataFr
     weights = {t: weight(documents, n) for t, n in holding.items()}
     items = [[(t, weights[t]) for t in own if t in weights] for _, own in asks]
     sent = spark.sparkContext.broadcast(Search(documents, length, items))
-    # A score that enough documents reach; it takes as many rows as items times top.
-    first = settle(_scored(texts, _leaders(blocks, sent, top), sent, top))
+    # A score that enough documents reach; there are at most items times top rows in a task.
+    first = settle(_scored(texts, _leaders(blocks, sent, LEADERS * top), sent, top))
     least = [1] * len(asks)
     reached: dict[int, list[int]] = {}
     for r in first.select("_item", "_score").collect():

@@ -7,17 +7,21 @@ import re
 import numpy as np
 import xxhash
 
-from fieldpulse.llm.common import LOWER, UPPER, WORD
+from fieldpulse.llm.common import WORD
 
-_LOWER = str.maketrans(UPPER, LOWER)
 _WORD = re.compile(WORD)
 # Word hashes that a task keeps.
 CACHE_WORDS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def lowered(text: str) -> str:
+    """A to Z lower-cased and nothing else, which is what bytes do."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def find_words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER))
+    return _WORD.findall(lowered(text or ""))
 
 
 def word_ngrams(text: str | None, n: int) -> frozenset:
