@@ -1,12 +1,11 @@
 """Near duplicates: a Jaccard join of word n-gram sets by MinHash banding.
 
 Texts with equal n-gram sets are merged first. Each distinct set gets a MinHash signature
-that is cut into bands; sets that agree in a band meet in a bucket. Buckets are not
-expanded into pairs: the sets of a bucket are verified against a few centres, on the full
-n-gram sets of the texts. Jaccard distance is a metric, so a set that is linked to a
-centre, and closer to it by more than the threshold distance than anything the centre is
-not linked to, has no link that the centre does not stand for. Only sets that this does
-not settle go on to the next round, which has four times as many centres.
+that is cut into bands; sets that agree in a band meet in a bucket. Sets that buckets
+connect are a family, and a family is verified as a whole, once: its n-grams become the
+columns of a 0/1 matrix, and the product of that matrix with itself holds the size of every
+intersection. Small families share tasks; large ones are cut into blocks, and each pair of
+blocks is a task. Tasks return a count and a class for each set, never pairs.
 """
 
 from __future__ import annotations
@@ -22,15 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.llm.common import SHINGLE_WORDS, Sealed, attach_groups, settle
-from fieldpulse.llm.shingles import WordHashes, find_words, shingle_hashes, word_ngrams
+from fieldpulse.llm.shingles import WordHashes, find_words, shingle_hashes
 
 THRESHOLD = 0.8
 # Share of links at the threshold whose texts meet in a bucket.
 RECALL = 0.999
 # Texts half as similar as the threshold meet at most this often.
 CHANCE = 0.1
-# Sets compared with each other in one task when links are counted.
-BLOCK_SETS = 128
+# Sets of a block; a task compares one block with another, or families of about as many sets.
+BLOCK_SETS = 2048
+# Columns of the matrix that are held at once.
+_COLUMNS = 4096
 _SEED = 2011
 
 
@@ -47,20 +48,21 @@ def banding(threshold: float, recall: float = RECALL, chance: float = CHANCE) ->
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and shifts; the product with a well mixed hash orders like a new hash."""
     rng = np.random.default_rng(_SEED)
-    factors = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return factors, rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    factors = rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return factors, rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def signature(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A hash per band of the minima of a set under bands times rows permutations."""
     factors, shifts = _permutations(bands * rows)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 256):  # fits a cache
-        part = hashes[at : at + 256, None] * factors
+    least = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(upper), 256):  # fits a cache
+        part = upper[at : at + 256, None] * factors
         part += shifts
         np.minimum(least, part.min(axis=0), out=least)
     mixed = np.zeros(bands, np.uint64)
-    for column in least.reshape(bands, rows).T:
+    for column in least.reshape(bands, rows).T.astype(np.uint64):
         mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
     return mixed.view(np.int64)
@@ -94,99 +96,122 @@ def sketches(docs: DataFrame, number: str, text: str, threshold: float) -> DataF
     )
 
 
-def _jaccard(pairs: DataFrame) -> DataFrame:
-    """(_digest, _centre, _far) of (_digest, _centre, _text, _other): Jaccard distances."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, frozenset()
-        for batch in batches:
-            far = []
-            for centre, text, other in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                if centre != last:
-                    last, last_set = centre, word_ngrams(other, SHINGLE_WORDS)
-                own = word_ngrams(text, SHINGLE_WORDS)
-                both = len(own & last_set)
-                far.append(1 - both / (len(own) + len(last_set) - both))
-            columns = [batch.column(0), batch.column(1), pa.array(far, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["_digest", "_centre", "_far"])
-
-    return pairs.select("_digest", "_centre", "_text", "_other").mapInArrow(
-        verify, "_digest binary, _centre binary, _far double"
+def families_of(members: DataFrame) -> DataFrame:
+    """(_node, _class): the sets that buckets connect; ``members`` is (_bucket, _digest)."""
+    heads = settle(
+        members.groupBy("_bucket").agg(F.min("_digest").alias("_head"), F.count(F.lit(1)).alias("_n"))
     )
+    met = attach_groups(members, heads, "_bucket", "_n", members.count())
+    return components(met.filter("_digest <> _head").select("_digest", "_head").distinct())
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    other = texts.select(F.col("_digest").alias("_centre"), F.col("_text").alias("_other"))
-    return settle(_jaccard(pairs.join(other, "_centre").join(texts, "_digest")))
-
+def linked(first: list[np.ndarray], second: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Which sets of ``first`` are linked with which of ``second``; None stands for ``first`` itself.
 
-def classes_of_buckets(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(_node, _class): the connected sets among those that share a bucket.
-
-    ``members`` is (_bucket, _digest), ``texts`` (_digest, _text). Each round verifies the
-    sets of a bucket against its centres, and drops the centres, the sets that a centre
-    stands for, and the buckets whose sets are all of one class by now.
+    Sets are sorted arrays of n-gram hashes. An n-gram that only one set has is in no
+    intersection, so only the others become columns.
     """
-    reach = 1 - threshold + 1e-9
-    edges, known, classes, centres_each = None, None, None, 1
-    members = members.withColumn("_class", F.col("_digest"))
-    while True:
-        # The smallest digest of each of so many parts, aggregated before it is shuffled.
-        part = F.pmod(F.xxhash64("_digest"), F.lit(centres_each)).alias("_part")
-        firsts = members.groupBy("_bucket", part).agg(
-            F.min(F.struct("_digest", "_class")).alias("_c"), F.count(F.lit(1)).alias("_n")
-        )
-        sizes = settle(
-            firsts.groupBy("_bucket").agg(F.collect_list("_c").alias("_centres"), F.sum("_n").alias("_n"))
-        )
-        if sizes.isEmpty():
-            break
-        others = F.filter("_centres", lambda c: c["_class"] != F.col("_class"))
-        met = settle(
-            attach_groups(members, sizes, "_bucket", "_n", members.count())
-            .select("_bucket", "_digest", F.explode(others).alias("_c"))
-            .select("_bucket", "_digest", F.col("_c._digest").alias("_centre"))
-        )
-        pairs = met.select("_digest", "_centre").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["_digest", "_centre"], "left_anti")
-        fresh = _verified(pairs, texts)
-        known = fresh if known is None else known.unionByName(fresh)
-        linked = fresh.filter(F.col("_far") <= reach).select("_digest", "_centre")
-        edges = linked if edges is None else edges.unionByName(linked)
-        measured = settle(
-            met.join(known, ["_digest", "_centre"]).withColumn("_spot", F.xxhash64("_bucket", "_centre"))
-        )
-        # The nearest set that the centre is not linked to, if any.
-        nearest = settle(
-            measured.groupBy("_spot").agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.min(F.when(F.col("_far") > reach, F.col("_far"))).alias("_least"),
-            )
-        )
-        judged = attach_groups(measured, nearest, "_spot", "_n", measured.count())
-        stands = (F.col("_far") <= reach) & (
-            F.col("_least").isNull() | (F.col("_far") + reach < F.col("_least"))
-        )
-        done = judged.filter(stands).select("_bucket", "_digest").unionByName(
-            sizes.select("_bucket", F.explode("_centres._digest").alias("_digest"))
-        )
-        classes = components(edges)
-        left = settle(
-            members.select("_bucket", "_digest")
-            .join(done.distinct(), ["_bucket", "_digest"], "left_anti")
-            .join(classes.withColumnRenamed("_node", "_digest"), "_digest", "left")
-            .select("_bucket", "_digest", F.coalesce("_class", "_digest").alias("_class"))
-        )
-        open_buckets = (
-            left.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b"))
-            .filter("_a < _b").select("_bucket")
-        )
-        members = settle(left.join(open_buckets, "_bucket", "left_semi"))
-        centres_each *= 4
-    if classes is None:
-        return members.select(F.col("_digest").alias("_node"), "_class")
-    return classes
+    sets = first + (second or [])
+    sizes = np.array([len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = often[column] > 1
+    owner, column = owner[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rows, others = len(first), slice(len(first) if second is not None else 0, len(sets))
+    both = np.zeros((rows, len(sets) - others.start), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        part = slice(*np.searchsorted(column, (at, at + _COLUMNS)))
+        held = np.zeros((len(sets), int(column[part][-1]) - at + 1), np.float32)
+        held[owner[part], column[part] - at] = 1
+        both += held[:rows] @ held[others].T
+    union = sizes[:rows, None] + sizes[None, others] - both
+    found = both >= (threshold - 1e-9) * union
+    if second is None:
+        np.fill_diagonal(found, False)
+    return found
+
+
+def _roots(links: np.ndarray) -> np.ndarray:
+    """The first member of each one's connected group, by the symmetric matrix of links."""
+    root = np.arange(len(links))
+    for i in range(len(links)):
+        if root[i] == i:
+            todo, root[i] = [i], -1 - i  # marked until the group is whole
+            while todo:
+                new = np.flatnonzero(links[todo].any(axis=0) & (root >= 0))
+                root[new] = -1 - i
+                todo = list(new)
+            root[root == -1 - i] = i
+    return root
+
+
+def _compare(rows: list[dict], threshold: float, hashes: WordHashes, cross: bool):
+    """(digest, links, root digest) of each set; across two blocks only if ``cross``."""
+    own = {r["_digest"]: r for r in rows}
+    rows = sorted(own.values(), key=lambda r: (r["_block"], r["_digest"]))
+    sets = [shingle_hashes(hashes.of(find_words(r["_text"])), SHINGLE_WORDS) for r in rows]
+    copies = np.array([r["_copies"] for r in rows], np.int64)
+    n = len(rows)
+    if cross:
+        half = sum(r["_block"] == rows[0]["_block"] for r in rows)
+        between = linked(sets[:half], sets[half:], threshold)
+        links = np.zeros((n, n), bool)
+        links[:half, half:], links[half:, :half] = between, between.T
+    else:
+        links = linked(sets, None, threshold)
+    # Summed a block of rows at a time, since counts are long.
+    counts = [int(copies[row].sum()) for row in links]
+    return [(r["_digest"], c, rows[k]["_digest"]) for r, c, k in zip(rows, counts, _roots(links))]
+
+
+def verify(families: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(_digest, _links, _class) of the sets of all families: linked documents, and connected sets.
+
+    ``families`` is (_node, _class), ``sets`` has _digest, _copies and ``texts`` _digest, _text.
+    """
+    sizes = settle(families.groupBy("_class").agg(F.count(F.lit(1)).alias("_sets")))
+    total = families.count()
+    n_packs = max(1, -(-total // BLOCK_SETS))
+    blocks = F.ceil(F.col("_sets") / BLOCK_SETS).cast("int")
+    placed = (
+        attach_groups(families, sizes, "_class", "_sets", total)
+        .withColumnRenamed("_node", "_digest")
+        .withColumns({"_blocks": blocks, "_block": F.pmod(F.xxhash64("_digest"), blocks).cast("int")})
+        .join(sets.select("_digest", "_copies"), "_digest")
+    )
+    # A set of a large family goes to each pair of blocks that has its own.
+    spread = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    alone = F.col("_blocks") == 1
+    keyed = spread.select(
+        F.when(alone, F.pmod(F.xxhash64("_class"), F.lit(n_packs))).otherwise(F.xxhash64("_class")).alias("_pack"),
+        F.when(alone, -1).otherwise(F.least("_block", "_with")).alias("_i"),
+        F.greatest("_block", "_with").alias("_j"),
+        F.col("_class").alias("_family"), "_digest", "_copies", "_block",
+    ).join(texts, "_digest")
+
+    def compare(key, group):
+        i, j = key[1].as_py(), key[2].as_py()
+        own: dict[bytes, list] = {}
+        for row in group.to_pylist():
+            own.setdefault(row["_family"], []).append(row)
+        hashes, done = WordHashes(), []
+        for rows in own.values():
+            done += _compare(rows, threshold, hashes, 0 <= i < j)
+        kinds = (pa.binary(), pa.int64(), pa.binary())
+        return pa.table({c: pa.array([d[k] for d in done], t) for k, (c, t) in enumerate(zip(("_digest", "_links", "_root"), kinds))})
+
+    found = settle(
+        keyed.groupBy("_pack", "_i", "_j")
+        .applyInArrow(compare, "_digest binary, _links long, _root binary")
+    )
+    counted = found.groupBy("_digest").agg(F.sum("_links").alias("_links"))
+    # A set of a small family has one root. Roots of blocks are connected to classes.
+    classes = components(found.filter("_digest <> _root").select("_digest", "_root").distinct())
+    return counted.join(classes.withColumnRenamed("_node", "_digest"), "_digest", "left").select(
+        "_digest", "_links", F.coalesce("_class", "_digest").alias("_class")
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,65 +243,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def count_links(classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(_digest, _links): documents with a linked text, for every set of a class.
-
-    ``classes`` is (_digest, _class, _copies). A class is cut into blocks of sets, and
-    pairs of blocks are compared in separate tasks that return counts, not pairs.
-    """
-    sizes = classes.groupBy("_class").agg(F.count(F.lit(1)).alias("_sets"))
-    blocks = F.ceil(F.col("_sets") / BLOCK_SETS).cast("int")
-    placed = classes.join(sizes, "_class").withColumns(
-        {"_blocks": blocks, "_block": F.pmod(F.xxhash64("_digest"), blocks).cast("int")}
-    )
-    # A set goes to each pair of blocks that has its own.
-    spread = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    keyed = spread.select(
-        "_class", "_digest", "_copies", "_block",
-        F.least("_block", "_with").alias("_i"), F.greatest("_block", "_with").alias("_j"),
-    ).join(texts, "_digest")
-
-    def compare(key, block):
-        rows = block.to_pylist()
-        sets = [word_ngrams(r["_text"], SHINGLE_WORDS) for r in rows]
-        order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
-        links = [0] * len(rows)
-        _, first, second = (k.as_py() for k in key)
-        for x, a in enumerate(order):
-            for b in order[x + 1 :]:
-                if len(sets[a]) < threshold * len(sets[b]) - 1e-9:
-                    break
-                if first != second and rows[a]["_block"] == rows[b]["_block"]:
-                    continue
-                both = len(sets[a] & sets[b])
-                if both >= (threshold - 1e-9) * (len(sets[a]) + len(sets[b]) - both):
-                    links[a] += rows[b]["_copies"]
-                    links[b] += rows[a]["_copies"]
-        return pa.table({"_digest": block.column("_digest"), "_part": pa.array(links, pa.int64())})
-
-    return (
-        keyed.groupBy("_class", "_i", "_j")
-        .applyInArrow(compare, "_digest binary, _part long")
-        .groupBy("_digest").agg(F.sum("_part").alias("_links"))
-    )
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = THRESHOLD,
-    links: bool = True,
 ) -> DataFrame:
     """Add ``class_id``, ``class_size`` and ``n_links`` to every document.
 
     Texts are linked when the Jaccard similarity of their sets of word n-grams is
     ``threshold`` or more; a text with fewer words than an n-gram is one n-gram. Classes
     are the connected texts, named by their smallest id. ``n_links`` counts the other
-    documents that a document is linked with, copies included; counting compares the
-    different texts of a class with each other, and ``links=False`` leaves it null. Null,
-    empty and wordless texts have no n-grams and are in no class: ``class_id`` is their
-    own id and ``class_size`` 1. Rows that share an id are documents of their own. Null
+    documents that a document is linked with, copies included. Null, empty and wordless texts
+    have no n-grams and are in no class: ``class_id`` is their own id and ``class_size`` 1. Rows that share an id are documents of their own. Null
     ids are no names; a class of nothing else has a null ``class_id``. All rows and
     columns are returned; columns named like the added ones are replaced. An empty table
     gives an empty table.
@@ -297,31 +276,31 @@ def near_duplicates(
     )
     shared = banded.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     members = settle(banded.join(shared.select("_bucket"), "_bucket", "left_semi"))
-    needed = members.select("_digest").distinct().join(sets, "_digest").select("_digest", "_at._row", "_at._key")
-    whole = sealed.frame.select(
-        F.struct(F.col(number).alias("_id")).alias("_key"),
-        F.xxhash64(text).alias("_row"), F.col(text).alias("_text"),
-    )
-    texts = settle(
-        needed.join(whole, ["_key", "_row"]).groupBy("_digest").agg(F.any_value("_text").alias("_text"))
+    families = settle(families_of(members))
+    needed = families.select(F.col("_node").alias("_digest")).join(sets, "_digest").select(
+        "_digest", "_at._row", "_at._key"
     )
-    connected = classes_of_buckets(members, texts, threshold)
+    # Rows that are repeated in full become one before they are shuffled for the join.
+    whole = sealed.frame.groupBy(
+        F.struct(F.col(number).alias("_id")).alias("_key"), F.xxhash64(text).alias("_row")
+    ).agg(F.any_value(text).alias("_text"))
+    texts = needed.join(whole, ["_key", "_row"]).select("_digest", "_text")
+    verified = verify(families, sets, texts, threshold)
     classes = settle(
-        sets.select("_digest", "_copies", "_first")
-        .join(connected.withColumnRenamed("_node", "_digest"), "_digest", "left")
+        sets.select("_digest", "_copies", "_first").join(verified, "_digest", "left")
         .withColumn("_class", F.coalesce("_class", "_digest"))
     )
-    totals = classes.groupBy("_class").agg(
-        F.sum("_copies").alias("_size"), F.min("_first").alias("_name"), F.count(F.lit(1)).alias("_sets")
+    totals = settle(
+        classes.groupBy("_class").agg(
+            F.sum("_copies").alias("_size"), F.min("_first").alias("_name"), F.count(F.lit(1)).alias("_sets")
+        )
     )
-    named = classes.join(totals, "_class")
-    counted = F.lit(None).cast("long")
-    if links:
-        several = named.filter("_sets > 1").select("_digest", "_class", "_copies")
-        named = named.join(count_links(several, texts, threshold), "_digest", "left")
-        counted = F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))
+    named = attach_groups(classes, totals, "_class", "_sets", classes.count())
     final = settle(
-        named.select("_digest", "_copies", "_size", "_name", counted.cast("long").alias("_links"))
+        named.select(
+            "_digest", "_copies", "_size", "_name",
+            (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"),
+        )
     )
     rows = attach_groups(sketch.select("_id", "_row", "_digest"), final, "_digest", "_copies", sketch.count())
     # One line per text under an id, and as many documents as carry it.
@@ -333,13 +312,12 @@ def near_duplicates(
     )
     joined = keyed.join(by_row, ["_key", "_row"], "left")
     alone = F.col("_size").isNull()
-    none = F.lit(0 if links else None).cast("long")
     return sealed.open(
         joined,
         {
             "class_id": F.when(alone, F.col(number)).otherwise(F.col("_name")),
             "class_size": F.coalesce("_size", F.lit(1)).cast("long"),
-            "n_links": F.when(alone, none).otherwise(F.col("_links")),
+            "n_links": F.when(alone, 0).otherwise(F.col("_links")).cast("long"),
         },
     )
 
@@ -351,7 +329,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     without words, and those without an id, all stay.
     """
     sealed = Sealed.of(docs)
-    marked = near_duplicates(sealed.frame, sealed.name(id_col), sealed.name(text_col), links=False)
+    marked = near_duplicates(sealed.frame, sealed.name(id_col), sealed.name(text_col))
     number = F.col(sealed.name(id_col))
     stays = marked.filter(number.isNull() | (number == F.col("class_id")))
     return sealed.open(stays, {})

@@ -136,3 +136,35 @@ def test_training_takes_odd_tables(spark):
     scored = toxicity.score(docs.withColumn("score", F.lit("x")), model)
     assert scored.columns == ["doc_id", "text", "score"] and scored.count() == 4
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_large_families_are_compared_in_blocks(spark, monkeypatch):
+    """A family of several blocks: linked groups, and texts that all just miss the threshold."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), (1, 2, 12)[i % 3]):
+            words[at] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes, links = brute_classes(dict(enumerate(texts)))
+    assert 1 < len(set(classes.values())) < 60
+    for size in (7, 2048):
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", size)
+        got = ngram_join.near_duplicates(df).collect()
+        assert {r.doc_id: r.class_id for r in got} == classes
+        assert {r.doc_id: r.n_links for r in got} == links
+
+
+def test_linked_equals_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 60))).astype(np.uint64) for _ in range(50)]
+    for first, second in ((sets, None), (sets[:20], sets[20:])):
+        found = ngram_join.linked(first, second, 0.5)
+        for i, a in enumerate(first):
+            for j, b in enumerate(second or first):
+                both = len(np.intersect1d(a, b))
+                want = both >= 0.5 * (len(a) + len(b) - both) and not (second is None and i == j)
+                assert found[i, j] == want
