@@ -10,6 +10,7 @@ room in every capacity and fits best.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,14 +38,42 @@ PATTERN = (
 )
 
 
+# The quick form is only for texts of letters up to here, where all tables of character kinds
+# agree, and without long blanks, on which its pattern engine gives up.
+_UNSURE = re.compile("[^\x00-\u024f]")
+_BLANKS = re.compile(r"\s{1000}")
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """A byte-level encoder from a file of ranks; it knows no special tokens."""
+def encoder(tokenizer_path: str, ranks_path: str | None = None):
+    """Function from a text to its ids as the tokenizer file has them.
+
+    With a file of ranks of the same vocabulary, plain texts take a quicker way to the same
+    ids. Special tokens that stand in a text are special, as by the tokenizer's default.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+
+    def whole(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    if ranks_path is None:
+        return whole
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+
+    def either(text: str) -> np.ndarray:
+        odd = not text.isascii() and _UNSURE.search(text)
+        if odd or any(token in text for token in special) or _BLANKS.search(text):
+            return whole(text)
+        return quick.encode_to_numpy(text)
+
+    return either
 
 
 def piece_lengths(tokens: int, most: int) -> list[int]:
@@ -62,18 +91,24 @@ def tokenize_pieces(
     docs: DataFrame,
     id_col: str,
     text_col: str,
-    ranks_path: str,
+    tokenizer_path: str,
+    ranks_path: str | None = None,
     max_tokens: int = MAX_TOKENS,
     keep_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if asked for, its ids.
 
-    Null counts as empty; an empty text is the end id alone. ``ranks_path`` must exist on
-    every executor.
+    Null counts as empty; an empty text is the end id alone. Whole texts are encoded,
+    however long. Repeated rows and null ids have pieces of their own each; an empty table
+    gives an empty table. Other columns are not read, and the id column cannot have the name
+    of an added one. Both files must exist on every executor.
     """
+    added = ["piece", "start", "length", "ids_crc32", "ids"]
+    if id_col.lower() in added:
+        raise ValueError(f"the id column cannot be named {id_col!r}")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path).encode_to_numpy
+        encode = encoder(tokenizer_path, ranks_path)
         for batch in batches:
             for at in range(0, batch.num_rows, _TEXTS_AT_ONCE):
                 part = batch.slice(at, _TEXTS_AT_ONCE)

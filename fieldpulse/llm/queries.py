@@ -90,8 +90,8 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = packing.tokenize_pieces(docs, "doc_id", "text", ranks)
+    files = [public_tokenizers.path(f"byte_bpe_50k.{form}") for form in ("json", "tiktoken")]
+    pieces = packing.tokenize_pieces(docs, "doc_id", "text", *files)
     return packing.pack_pieces(pieces)
 
 

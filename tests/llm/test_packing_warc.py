@@ -11,14 +11,12 @@ from tokenizers import Tokenizer
 
 from fieldpulse.llm import packing, queries, warc
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+FILES = [public_tokenizers.path(f"byte_bpe_50k.{form}") for form in ("json", "tiktoken")]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_op7_equals_the_tokenizer_and_fills_sequences(spark, folder, tokenizer):
@@ -53,12 +51,32 @@ def test_op7_equals_the_tokenizer_and_fills_sequences(spark, folder, tokenizer):
 def test_encoder_equals_the_tokenizer_on_odd_texts(tokenizer):
     rng = random.Random(5)
     pieces = ["a", " ", "  ", "\n", "\t", "'s", "'", "é", "😀", "日本", "１", "½", "<|endoftext|>", "\x00", "​", "́", "ǅ", "A1", "..."]
-    encode = packing.encoder(RANKS).encode_ordinary
-    for _ in range(2000):
+    pieces += [chr(c) for c in range(0x250)] + ["\x85", "\u2028", "\u1680", "ا", "ж"]
+    encode = packing.encoder(*FILES)
+    for _ in range(6000):
         text = "".join(rng.choice(pieces) for _ in range(rng.randrange(30)))
-        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
-    for text in (" " * 200_000, "a" * 100_000, "\n" * 50_000 + "x"):
-        assert len(encode(text)) > 0
+        assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n"])
+def test_very_long_blanks_and_special_tokens(spark, blank, tokenizer):
+    texts = [blank * 2_000_000, "end <|endoftext|> of", "a" * 30_000 + "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = packing.tokenize_pieces(df, "id", "text", *FILES, keep_ids=True).orderBy("id", "piece").collect()
+    for number, text in enumerate(texts):
+        ids = [i for r in rows if r.id == number for i in r.ids]
+        assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert [i for r in rows if r.id == 1 for i in r.ids] == [437, 220, 50256, 286, 0]
+
+
+def test_pieces_of_odd_rows(spark):
+    rows = [(1, "a b", 5), (1, "a b", 5), (None, None, 6), (2, "", 7)]
+    df = spark.createDataFrame(rows, "id long, text string, length int")
+    got = sorted(packing.tokenize_pieces(df, "id", "text", *FILES).select("id", "piece", "length").collect(), key=repr)
+    assert [tuple(r) for r in got] == [(1, 0, 3), (1, 0, 3), (2, 0, 1), (None, 0, 1)]
+    assert packing.tokenize_pieces(df.limit(0), "id", "text", *FILES).collect() == []
+    with pytest.raises(ValueError):
+        packing.tokenize_pieces(df, "Length", "text", *FILES)
 
 
 def test_every_capacity_holds():
@@ -92,7 +110,7 @@ def test_pack_repeated_rows_names_and_empty(spark):
     with pytest.raises(ValueError):
         packing.pack_pieces(df, max_tokens=4)
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string")
-    kept = packing.tokenize_pieces(docs, "doc_id", "text", RANKS, 2, keep_ids=True).collect()
+    kept = packing.tokenize_pieces(docs, "doc_id", "text", *FILES, max_tokens=2, keep_ids=True).collect()
     assert [(r.doc_id, r.piece, len(r.ids)) for r in kept] == [(1, 0, 1), (2, 0, 1), (3, 0, 1), (3, 1, 2)]
 
 
