@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,7 +101,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     In the first epoch each text is taken as the set of its words, so that all of them
     have a vote before the model chooses a passage. Classes count alike. Without texts of both classes
     every text has the score of the known class by its count: below one half when no text is
-    toxic, also when there is none at all.
+    toxic, also when there is none at all, and one half for a single toxic text, as meant: one
+    row is too little to speak for more.
     """
     y = np.asarray(labels, dtype=np.int64)
     if len(set(labels)) < 2:
@@ -108,14 +110,16 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     tokens = [
-        np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], dtype=np.int64)
+        np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words(t)), np.int32)
         for t in texts
     ]
-    lists = [subwords(w) for w in vocabulary]
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    grams = np.fromiter((g for x in lists for g in x), np.int64, int(starts[-1]))
-    del lists
+    flat, ends = array("i"), array("q", [0])
+    for word in vocabulary:
+        flat.extend(subwords(word))
+        ends.append(len(flat))
+    del vocabulary
+    grams, starts = np.frombuffer(flat, np.int32), np.frombuffer(ends, np.int64)
+    sizes = np.diff(starts)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -213,27 +217,36 @@ def train(
         .join(F.broadcast(sample), "_id")
         .groupBy("_id", "_label", F.xxhash64("_text").alias("_row"))
         .agg(F.first("_text").alias("_text"))
-        .collect()
+        .select(F.lit(0).alias("_all"), F.col("_id").cast("string"), "_label", "_row", "_text")
     )
-    rows.sort(key=lambda r: (r["_label"], str(r["_id"]), r["_row"]))
-    return fit([r["_text"] for r in rows], [r["_label"] for r in rows])
+
+    def learn(sampled: pa.Table) -> pa.Table:
+        order = sampled.sort_by([("_label", "ascending"), ("_id", "ascending"), ("_row", "ascending")])
+        done = fit(order.column("_text").to_pylist(), order.column("_label").to_pylist())
+        held = [pa.array([done.weights.tobytes()], pa.binary()), pa.array([done.bias], pa.float64())]
+        return pa.table(held, ["_weights", "_bias"])
+
+    # The sample is bounded, so one task learns from it; the driver sees the weights alone.
+    learnt = rows.groupBy("_all").applyInArrow(learn, "_weights binary, _bias double").first()
+    if learnt is None:
+        return fit([], [])
+    return Model(np.frombuffer(learnt["_weights"], np.float32), learnt["_bias"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``score``, from 0 to 1, higher for texts that are more likely toxic.
 
-    Whole texts are scored, and by nothing but the text; null counts as empty, and texts
-    without words have the score of no evidence. All rows and columns are returned; a
-    column named ``score`` is replaced. An empty table gives an empty table.
+    Whole texts are scored, however long, and by nothing but the text, so repeated rows and
+    equal texts score alike; null counts as empty, and texts without words have the score of no
+    evidence. All rows and columns are returned; a column named ``score`` is replaced. An
+    empty table gives an empty table.
     """
     sealed = Sealed.of(docs)
-    text = sealed.names.index(next(c for c in sealed.names if c.lower() == text_col.lower()))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of_text = model.scorer()
-        for batch in batches:
-            values = pa.array((of_text(t.as_py()) for t in batch.column(text)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "_score"])
+        for texts in batches:
+            yield pa.array((of_text(t.as_py()) for t in texts), pa.float64())
 
-    schema = sealed.frame.withColumn("_score", F.lit(0.0)).schema
-    return sealed.open(sealed.frame.mapInArrow(scored, schema), {"score": F.col("_score")})
+    return sealed.open(sealed.frame, {"score": scored(F.col(sealed.name(text_col)))})

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -168,3 +169,77 @@ def test_linked_equals_sets():
                 both = len(np.intersect1d(a, b))
                 want = both >= 0.5 * (len(a) + len(b) - both) and not (second is None and i == j)
                 assert found[i, j] == want
+
+
+def plain_fit(texts, labels, seed=7):
+    """Training in plain loops: (difference of the classes for each bucket, bias)."""
+    t = toxicity
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(0, 0.1, (t.BUCKETS, t.DIMENSIONS))
+    softmax = rng.normal(0, 0.1, (t.DIMENSIONS, 2))
+    bias, bias_sq = [0.0, 0.0], [1e-2, 1e-2]
+    squares, softmax_sq = {}, np.full((t.DIMENSIONS, 2), 1e-2)
+    toxic = sum(labels)
+    weight = {1: len(labels) / (2 * toxic), 0: len(labels) / (2 * (len(labels) - toxic))}
+    lists = [t.words(x) for x in texts]
+    first_seen = {w: i for i, w in enumerate(dict.fromkeys(w for own in lists for w in own))}
+    for epoch in range(t.EPOCHS):
+        passages = []
+        for own in lists:
+            if epoch == 0:
+                passages.append(sorted(set(own), key=first_seen.get))
+                continue
+            each = []
+            for word in own:
+                ids = t.subwords(word)
+                each.append(sum(float(vectors[i] @ (softmax[:, 1] - softmax[:, 0])) for i in ids) / len(ids))
+            means = [sum(each[a : a + t.PASSAGE_WORDS]) / t.PASSAGE_WORDS for a in range(max(1, len(own) - t.PASSAGE_WORDS + 1))]
+            at = max(range(len(means)), key=lambda a: (means[a], -a))
+            passages.append(own[at : at + t.PASSAGE_WORDS])
+        order = [i for i in rng.permutation(len(labels)) if passages[i]]
+        for first in range(0, len(order), t.BATCH_TEXTS):
+            steps, softmax_step, bias_step = {}, np.zeros((t.DIMENSIONS, 2)), [0.0, 0.0]
+            for i in order[first : first + t.BATCH_TEXTS]:
+                grams = [t.subwords(w) for w in passages[i]]
+                mean = sum(sum(vectors[g] for g in ids) / len(ids) for ids in grams) / len(grams)
+                logits = mean @ softmax + bias
+                shifted = np.exp(logits - logits.max())
+                error = shifted / shifted.sum()
+                error[labels[i]] -= 1
+                error *= weight[labels[i]]
+                for ids in grams:
+                    for g in ids:
+                        steps[g] = steps.get(g, 0) + softmax @ error
+                softmax_step += np.outer(mean, error)
+                bias_step = [b + e for b, e in zip(bias_step, error)]
+            for g, step in steps.items():
+                squares[g] = squares.get(g, 1e-2) + float((step**2).mean())
+                vectors[g] -= t.RATE * step / math.sqrt(squares[g])
+            softmax_sq += softmax_step**2
+            softmax -= t.RATE * softmax_step / np.sqrt(softmax_sq)
+            for c in (0, 1):
+                bias_sq[c] += bias_step[c] ** 2
+                bias[c] -= t.RATE * bias_step[c] / math.sqrt(bias_sq[c])
+    return vectors @ (softmax[:, 1] - softmax[:, 0]), bias[1] - bias[0]
+
+
+def test_fit_and_score_equal_plain_loops(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("kolin mera sat vexorgu plimdash tun".split()[: 6 if i % 3 == 0 else 3]) for _ in range(rng.choice((1, 9, 40)))) for i in range(40)]
+    labels = [int("vex" in t or "plim" in t) for t in texts]
+    model = toxicity.fit(texts, labels)
+    weights, bias = plain_fit(texts, labels)
+    assert np.allclose(model.weights, weights, atol=0.02) and abs(model.bias - bias) < 0.02
+    long_text = "sat mera " * 200_000 + "vexorgu plimdash vexorgu"
+    rows = [(1, texts[0], 0), (1, texts[0], 0), (2, long_text, 1), (3, None, 2)]
+    df = spark.createDataFrame(rows, "id long, text string, SCORE int")
+    got = toxicity.score(df, model).collect()
+
+    def plain(text):
+        each = [np.mean([model.weights[g] for g in toxicity.subwords(w)]) for w in toxicity.words(text)]
+        n = toxicity.PASSAGE_WORDS
+        best = max((np.mean(each[a : a + n]) for a in range(max(1, len(each) - n + 1))), default=0.0) if each else 0.0
+        return 1 / (1 + math.exp(-(best + model.bias)))
+
+    want = {1: plain(texts[0]), 2: plain(long_text[-4000:]), 3: plain("")}
+    assert len(got) == 4 and all(abs(r.score - want[r.id]) < 1e-5 for r in got)
