@@ -39,7 +39,9 @@ ROW_SHARE = 0.8
 COLUMN_SHARE = 0.8
 
 # Models trained at the same time when folds are compared.
-TRAININGS_AT_ONCE = 5
+TRAININGS_AT_ONCE = 8
+# Rows of features in a partition while models are compared.
+PARTITION_ROWS = 200_000
 
 
 def feature_stages(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
@@ -194,36 +196,70 @@ def cross_validated_auc(
     seed: int = 94,
 ) -> DataFrame:
     """AUC on each stratified fold, with the mean and two standard deviations."""
-    folded = stratified_folds(df, label, key, folds, seed).persist()
-    try:
-        found = _side_by_side(
-            lambda i: _auc_without(folded, folded, i, label, numeric, trees, seed), range(folds)
-        )
-        scores = [(i, auc) for i, (_, auc) in enumerate(found)]
-    finally:
-        folded.unpersist()
+    folded = stratified_folds(df, label, key, folds, seed).withColumn("_part", F.lit(0.0))
+    found = _scores(folded, label, numeric, [0.0], folds, trees, seed)
+    scores = [(i, test) for i, (_, _, test) in enumerate(found)]
     table = literal_table(df.sparkSession, scores, _pair("fold", "int", "auc", "double"))
     summary = table.agg(F.mean("auc").alias("mean_auc"), (2 * F.stddev_pop("auc")).alias("two_sigma"))
     mean, spread = summary.select("mean_auc").scalar(), summary.select("two_sigma").scalar()
     return table.withColumns({"mean_auc": mean, "two_sigma": spread})
 
 
+def _scores(
+    folded: DataFrame, label: str, numeric: Sequence[str], shares: Sequence[float], folds: int, trees: int, seed: int
+) -> list[tuple[int, float, float]]:
+    """(training rows, AUC on them, AUC on the fold) for each share and fold, shares first.
+
+    ``folded`` has ``fold`` and ``_part``. Features are made once for all models and kept as
+    vectors with their folds and shares; a model takes its rows from there. Scaling is the same
+    for all and the trees split alike whatever the scale, so only the value for missing
+    numbers, a mean over all rows, is shared knowledge.
+    """
+    spark = folded.sparkSession
+    ensure_checkpoint_dir(spark)
+    stages = Pipeline(stages=feature_stages(numeric)).fit(folded)
+    made = stages.transform(folded).select(label, "features", "fold", "_part")
+    # Enough rows in a partition to be worth a task: each model is many small jobs.
+    n_rows = folded.count()
+    ready = made.coalesce(max(1, -(-n_rows // PARTITION_ROWS))).persist()
+    try:
+        counted = ready.groupBy("_part", "fold", F.col(label).cast("int").alias("class")).count()
+        cells = counted.groupBy("fold", "class", _step(shares).alias("share")).agg(F.sum("count").alias("n")).collect()
+
+        def of(run: tuple[int, int]) -> tuple[int, float, float]:
+            share, fold = run
+            own = [c for c in cells if c["share"] is not None and c["share"] <= share and c["fold"] != fold]
+            ones = sum(c["n"] for c in own if c["class"] == 1)
+            zeros = sum(c["n"] for c in own if c["class"] == 0)
+            weight = F.when(F.col(label) == 1, F.lit(zeros / ones if ones else 1.0)).otherwise(F.lit(1.0))
+            training = ready.filter((F.col("_part") <= shares[share]) & (F.col("fold") != fold))
+            model = boosted_trees(label, trees, seed).fit(training.withColumn("weight", weight))
+            held_out = ready.filter(F.col("fold") == fold)
+            return (
+                ones + zeros,
+                area_under_roc(model.transform(training), label),
+                area_under_roc(model.transform(held_out), label),
+            )
+
+        return _side_by_side(of, [(n, i) for n in range(len(shares)) for i in range(folds)])
+    finally:
+        ready.unpersist()
+
+
+def _step(shares: Sequence[float]):
+    """Number of the first share that holds a row."""
+    chosen = F.lit(None).cast("int")
+    for n, share in reversed(list(enumerate(shares))):
+        chosen = F.when(F.col("_part") <= share, F.lit(n)).otherwise(chosen)
+    return chosen
+
+
 def _side_by_side(run: Callable, over: Iterable) -> list:
     """Results in order; several trainings are submitted at once, since each is many small jobs."""
     with ThreadPoolExecutor(TRAININGS_AT_ONCE) as pool:
         return list(pool.map(run, over))
 
 
-def _auc_without(folded, training_rows, fold, label, numeric, trees, seed) -> tuple[float, float]:
-    """Train outside the fold; AUC on the training rows and on the fold."""
-    training = training_rows.filter(F.col("fold") != fold)
-    model = train(training, label, numeric, trees=trees, seed=seed)
-    return (
-        area_under_roc(model.transform(training), label),
-        area_under_roc(model.transform(folded.filter(F.col("fold") == fold)), label),
-    )
-
-
 def learning_curve(
     df: DataFrame,
     label: str,
@@ -237,38 +273,21 @@ def learning_curve(
     """Training and held-out AUC for growing, nested shares of the training rows.
 
     A share is a range of the random rank within each class, so every share holds
-    both classes in proportion and contains the smaller ones.
+    both classes in proportion and contains the smaller ones. ``rows`` is what the first
+    fold's model is trained on.
     """
-    folded = (
-        ranked_share(df, label, key, seed)
-        .withColumns(
-            {
-                "fold": (F.col("_rank") % folds).cast("int"),
-                "_part": (F.col("_rank") + 1) / F.col("_size"),
-            }
-        )
-        .persist()
+    folded = ranked_share(df, label, key, seed).withColumns(
+        {
+            "fold": (F.col("_rank") % folds).cast("int"),
+            "_part": (F.col("_rank") + 1) / F.col("_size"),
+        }
     )
-    try:
-        def score(run: tuple[float, int]) -> tuple[float, float]:
-            part = folded.filter(F.col("_part") <= run[0])
-            return _auc_without(folded, part, run[1], label, numeric, trees, seed)
-
-        found = _side_by_side(score, [(share, i) for share in shares for i in range(folds)])
-        rows = []
-        for n, share in enumerate(shares):
-            part = folded.filter(F.col("_part") <= share)
-            scores = found[n * folds : (n + 1) * folds]
-            rows.append(
-                (
-                    float(share),
-                    part.filter(F.col("fold") != 0).count(),
-                    sum(s[0] for s in scores) / folds,
-                    sum(s[1] for s in scores) / folds,
-                )
-            )
-    finally:
-        folded.unpersist()
+    found = _scores(folded, label, numeric, shares, folds, trees, seed)
+    rows = []
+    for n, share in enumerate(shares):
+        own = found[n * folds : (n + 1) * folds]
+        train, test = (sum(s[k] for s in own) / folds for k in (1, 2))
+        rows.append((float(share), own[0][0], train, test))
     schema = _pair("share", "double", "rows", "bigint", "train_auc", "double", "test_auc", "double")
     return literal_table(df.sparkSession, rows, schema)
 
