@@ -4,9 +4,10 @@ A series is all rows of one key in a named order. Looking back one or two rows
 is a window per key, which puts a whole series into one task. That is right for
 plays of bounded length, but a key that holds a large share of the table would
 make one task do most of the work. A series with ``max_rows`` is therefore
-measured first: keys above the limit are cut into consecutive chunks along the
-order, the look-back runs inside the chunks in parallel, and the last rows of
-each chunk are handed to the next one through a small table.
+measured first: keys above the limit are cut into consecutive chunks at splitters
+sampled from their own rows, whatever the types of the order columns. The look-back
+runs inside the chunks in parallel, and the last rows of each chunk are handed to the
+next one through a small table.
 """
 
 from __future__ import annotations
@@ -16,18 +17,18 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from fieldpulse.functions.columns import seconds_between
 
 # Up to this many long keys are joined as a broadcast list; beyond it, by shuffle.
 BROADCAST_KEYS = 10_000
-# Chunks cut per expected one, so that unevenly spread rows still fit.
-OVERCUT = 4
-# Chunks that are still too long are cut again, this often at most.
-CUT_LEVELS = 6
+# Chunks cut per expected one, so that chunks around sampled splitters still fit.
+OVERCUT = 2
+# Chunks that a level makes of a group at most, and rows sampled for each.
+MOST_PARTS = 64
+SAMPLES = 32
 
-_CHUNK, _PARTS, _LONG, _GROUP, _POS = "_chunk", "_parts", "_long", "_group", "_pos"
+_CHUNK, _PARTS, _LONG, _GROUP, _POS, _TIE = "_chunk", "_parts", "_long", "_group", "_pos", "_tie"
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,9 @@ class Series:
 
     ``order`` must be unique within a key for results to be reproducible. With
     ``max_rows=None`` the length of a series is taken as bounded by the data and
-    nothing is counted. Otherwise the first order column must be a number, date or timestamp.
-    ``cuts`` is filled by ``settle``.
+    nothing is counted. Otherwise longer series are cut along the whole order, of columns of
+    any type that sorts; rows that tie in it are told apart by a hash of all their columns, so
+    only rows that are equal throughout stay together. ``cuts`` is filled by ``settle``.
     """
 
     key: tuple[str, ...]
@@ -72,29 +74,14 @@ def back(name: str, steps: int = 1) -> str:
     return f"_back{steps}_{name}"
 
 
-def _scale(df: DataFrame, name: str) -> Column | None:
-    """An order column on a number line, or None for other types."""
-    data_type = df.schema[name].dataType
-    if isinstance(data_type, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(data_type, DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(data_type, NumericType):
-        return F.col(name).cast("double")
-    return None
-
-
-def _scales(df: DataFrame, series: Series) -> list[Column]:
-    """Leading order columns that can be cut; a later one serves when all before are constant."""
-    scales = []
-    for name in series.order:
-        scale = _scale(df, name)
-        if scale is None:
-            break
-        scales.append(scale)
-    if not scales:
-        raise TypeError(f"cannot cut a series along {series.order[0]!r}: not a number or time")
-    return scales
+def _tie(df: DataFrame) -> Column:
+    """A last order column for rows that tie; maps cannot be hashed."""
+    return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
+
+
+def _place(series: Series) -> Column:
+    """The whole order as one comparable value."""
+    return F.struct(*series.order, _TIE)
 
 
 def _matching(names: dict[str, str]) -> Column:
@@ -128,35 +115,51 @@ def broadcast_if_few(df: DataFrame) -> DataFrame | None:
     return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
-def _extents(df: DataFrame, series: Series, keys: Sequence[str], long: DataFrame) -> DataFrame:
-    """Long groups with the first and last value of each order column that can be cut."""
+def _splitters(df: DataFrame, series: Series, keys: Sequence[str], long: DataFrame, level: int) -> DataFrame:
+    """Long groups with the places at which they are cut, in order.
+
+    A sample by hash, of about SAMPLES rows for each chunk and so of bounded size, is sorted
+    and read at even steps.
+    """
     names = {k: f"_long_{k}" for k in keys}
-    bounds = []
-    for i, scale in enumerate(_scales(df, series)):
-        bounds += [F.min(scale).alias(f"_lo{i}"), F.max(scale).alias(f"_hi{i}")]
-    return (
-        df.join(long.withColumnsRenamed(names), _matching(names), "inner")
-        .groupBy(*keys)
-        .agg(F.max("_rows").alias("_rows"), *bounds)
+    wanted = long.withColumn(
+        _PARTS, F.least(F.lit(MOST_PARTS), F.ceil(F.col("_rows") * OVERCUT / series.max_rows)).cast("int")
+    )
+    joined = df.join(wanted.withColumnsRenamed(names), _matching(names), "inner")
+    one_in = F.greatest(F.lit(1), F.floor(F.col("_rows") / (F.col(_PARTS) * SAMPLES)))
+    chosen = F.pmod(F.xxhash64(F.lit(level), *series.order, _TIE), one_in) == 0
+    sampled = (
+        joined.filter(chosen).groupBy(*keys)
+        .agg(F.max(_PARTS).alias(_PARTS), F.sort_array(F.collect_set(_place(series))).alias("_sample"))
+    )
+    at = F.transform(
+        F.sequence(F.lit(1), F.col(_PARTS)),
+        lambda i: F.get("_sample", F.floor((i - 1) * F.size("_sample") / F.col(_PARTS)).cast("int")),
     )
+    # The first one only names the start of the group.
+    return sampled.select(*keys, F.array_distinct(F.slice(at, 2, MOST_PARTS)).alias("_cuts"))
 
 
 def plan_cuts(df: DataFrame, series: Series) -> tuple[DataFrame, ...]:
     """How to cut the series that are too long; empty when none is.
 
-    Each level divides the long groups evenly along the order. Groups that stay
-    long because rows crowd together are divided again over their own extent. A
-    level is a table with a row per long group, so its size is at most the number
-    of rows over ``max_rows``.
+    Each level divides the long groups at their splitters; groups that are still long are
+    divided again, until none is left or two levels have not shortened the longest, whose
+    rows are then equal in every column. A level is a table with a row per long group, so its
+    size is at most the number of rows over ``max_rows``.
     """
-    _scales(df, series)  # Fails early for an order that cannot be cut.
     cuts: list[DataFrame] = []
-    current, keys = df, list(series.key)
-    for _ in range(CUT_LEVELS):
+    current, keys = df.withColumn(_TIE, _tie(df)), list(series.key)
+    longest, idle = None, 0
+    while idle < 2:
         long = broadcast_if_few(long_keys(current, keys, series.max_rows))
         if long is None:
             break
-        cut = broadcast_if_few(_extents(current, series, keys, long))
+        most = long.agg(F.max("_rows")).first()[0]
+        longest, idle = most, idle + 1 if most == longest else 0
+        cut = broadcast_if_few(_splitters(current, series, keys, long, len(cuts)))
+        if cut is None:
+            continue
         cuts.append(cut)
         current = _divide(current, cut, series, keys).filter(_LONG)
         keys = [*series.key, _CHUNK]
@@ -183,34 +186,21 @@ def _cut(df: DataFrame, series: Series) -> DataFrame | None:
     if series.max_rows is None:
         return None
     cuts = plan_cuts(df, series) if series.cuts is None else series.cuts
-    current, keys = df, list(series.key)
+    current, keys = df.withColumn(_TIE, _tie(df)), list(series.key)
     for cut in cuts:
         current = _divide(current, cut, series, keys)
         keys = [*series.key, _CHUNK]
     return current if cuts else None
 
 
-def _divide(df: DataFrame, counted: DataFrame, series: Series, keys: list[str]) -> DataFrame:
-    scales = _scales(df, series)
+def _divide(df: DataFrame, cut: DataFrame, series: Series, keys: list[str]) -> DataFrame:
+    """Add to the chunk number how many splitters of its group a row has reached."""
     names = {k: f"_cut_{k}" for k in keys}
-    counted = counted.withColumnsRenamed(names).withColumn(
-        _PARTS, F.ceil(F.col("_rows") * F.lit(OVERCUT) / F.lit(series.max_rows)).cast("long")
-    )
-    joined = df.join(counted, _matching(names), "left")
-    number = F.lit(0).cast("long")
-    for i, (name, scale) in reversed(list(enumerate(zip(series.order, scales)))):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        along = F.floor((scale - lo) / (hi - lo) * F.col(_PARTS))
-        number = (
-            F.when(F.col(_PARTS).isNull(), F.lit(0))
-            # Nulls sort before all values; a column of nothing but nulls is constant.
-            .when(lo.isNotNull() & F.col(name).isNull(), F.lit(-1))
-            .when(hi > lo, F.greatest(F.lit(0), F.least(F.col(_PARTS) - F.lit(1), along)))
-            .otherwise(number)
-            .cast("long")
-        )
-    chunk = F.array(number)
-    long = F.col(_PARTS).isNotNull()
+    joined = df.join(cut.withColumnsRenamed(names), _matching(names), "left")
+    long = F.col("_cuts").isNotNull()
+    place = _place(series)
+    reached = F.size(F.filter("_cuts", lambda splitter: splitter <= place))
+    chunk = F.array(F.when(long, reached).otherwise(F.lit(0)))
     if _CHUNK in df.columns:
         chunk = F.concat(F.col(_CHUNK), chunk)
         long = F.col(_LONG) | long
@@ -249,7 +239,7 @@ def _look_back_in_chunks(df, cut, series, columns, steps, index):
     # null key are matched like any other, and one placement by (group, chunk) serves
     # the windows and the hand-over join.
     grouped = cut.withColumn(_GROUP, F.struct(*series.key))
-    w = Window.partitionBy(_GROUP, _CHUNK).orderBy(*series.order)
+    w = Window.partitionBy(_GROUP, _CHUNK).orderBy(*series.order, _TIE)
     local = grouped.repartition(_GROUP, _CHUNK).withColumns(
         {back(c, s): F.lag(c, s).over(w) for s in range(1, steps + 1) for c in columns}
         | {_POS: F.row_number().over(w)}
@@ -282,14 +272,14 @@ def _hand_over(rows: DataFrame, series: Series, columns: Sequence[str], steps: i
     """
     kept = list(columns)
     if steps == 2:
-        w = Window.partitionBy(_GROUP, _CHUNK).orderBy(*series.order)
+        w = Window.partitionBy(_GROUP, _CHUNK).orderBy(*series.order, _TIE)
         rows = rows.repartition(_GROUP, _CHUNK).withColumns(
             {back(c): F.lag(c, 1).over(w) for c in columns}
         )
         kept += [back(c) for c in columns]
     tail = F.struct(*kept) if kept else F.struct(F.lit(0).alias("_none"))
     tails = rows.groupBy(_GROUP, _CHUNK).agg(
-        F.max_by(tail, series.position()).alias("_last"), F.count(F.lit(1)).alias("_n")
+        F.max_by(tail, _place(series)).alias("_last"), F.count(F.lit(1)).alias("_n")
     )
     chunks = Window.partitionBy(_GROUP).orderBy(_CHUNK)
     return tails.select(

@@ -94,10 +94,33 @@ def test_settle(spark):
     assert settle(df, Series("k", ("t", "u"), 100)).cuts
 
 
-def test_text_order_cannot_be_cut(spark):
-    df = spark.createDataFrame([("a", "x")], "k string, t string")
-    with pytest.raises(TypeError):
-        look_back(df, Series("k", "t", 1), ["k"])
+def test_text_order_with_ties_is_cut(spark):
+    """A third of the rows at one time, told apart by texts alone."""
+    rows = [("hot", 5.0 if u % 3 else float(u), f"{'x' * (u % 4)}{(u * 37) % 100:03d}", u) for u in range(90)]
+    df = spark.createDataFrame(rows, "k string, t double, name string, u int").repartition(3)
+    order = sorted(rows, key=lambda r: (r[1], r[2]))
+    for max_rows in (1, 10):
+        series = Series("k", ("t", "name"), max_rows)
+        largest = S._cut(df, series).groupBy("_chunk").count().agg(F.max("count")).first()[0]
+        assert largest <= max_rows
+        got = look_back(df, series, ["u"], 2, "i").collect()
+        assert {r.u: (r.i, r[back("u", 1)], r[back("u", 2)]) for r in got} == {
+            r[3]: (i, order[i - 1][3] if i else None, order[i - 2][3] if i > 1 else None)
+            for i, r in enumerate(order)
+        }
+
+
+def test_rows_that_tie_in_the_whole_order_are_spread(spark):
+    rows = [("hot", 1.0, u) for u in range(100)] + [("hot", 2.0, 7)] * 30 + [("a", 1.0, 1)]
+    df = spark.createDataFrame(rows, "k string, t double, u int").repartition(4)
+    series = Series("k", "t", 20)
+    chunks = {r["_chunk"][0] if len(r["_chunk"]) == 1 else tuple(r["_chunk"]): r["count"] for r in S._cut(df, series).groupBy("_chunk").count().collect()}
+    # Only the rows that are equal in every column stay together.
+    assert sorted(chunks.values())[-1] == 30 and sorted(chunks.values())[-2] <= 20
+    got = look_back(df, series, ["t"], 1, "i").filter("k = 'hot'").collect()
+    assert sorted(r.i for r in got) == list(range(130))
+    assert all(r.i < 100 for r in got if r.t == 1.0)
+    assert sum(r[back("t")] is None for r in got) == 1
 
 
 def test_time_index_counts_tenths(spark):
