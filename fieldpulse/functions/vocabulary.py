@@ -248,3 +248,17 @@ VIEWING_WINDOWS = [
     ("32783-296-2667", 18.0, 26.0),
     ("33260-601-602", 27.0, 34.0),
 ]
+
+# Named character references of web pages.
+REFERENCES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "iexcl": "¡",
+    "cent": "¢", "pound": "£", "yen": "¥", "sect": "§", "copy": "©", "laquo": "«", "reg": "®",
+    "deg": "°", "plusmn": "±", "sup2": "²", "sup3": "³", "acute": "´", "micro": "µ", "para": "¶",
+    "middot": "·", "raquo": "»", "frac14": "¼", "frac12": "½", "frac34": "¾", "iquest": "¿",
+    "times": "×", "divide": "÷", "szlig": "ß", "agrave": "à", "aacute": "á", "acirc": "â",
+    "atilde": "ã", "auml": "ä", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê",
+    "euml": "ë", "iacute": "í", "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö",
+    "uacute": "ú", "uuml": "ü", "Auml": "Ä", "Eacute": "É", "Ntilde": "Ñ", "Ouml": "Ö", "Uuml": "Ü",
+    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "bull": "•", "hellip": "…", "euro": "€", "trade": "™", "larr": "←", "rarr": "→",
+}

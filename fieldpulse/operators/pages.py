@@ -6,9 +6,10 @@ parsing is done by Spark's own text functions over the whole page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldpulse.functions import vocabulary
 from fieldpulse.functions.columns import as_column
 
 _TAG = r"(?s)<[^>]*>"
@@ -39,15 +40,90 @@ def attribute(tag_text: Column | str, name: str) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1))
 
 
+def resolved(text: Column | str) -> Column:
+    """Text with its character references resolved, each once; unknown ones stay as they are.
+
+    Named references of the table in ``vocabulary``, and decimal and hexadecimal numbers.
+    """
+    names = F.create_map(*[F.lit(x) for pair in vocabulary.REFERENCES.items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^&([^;]+);", 1)
+        decimal = F.conv(F.regexp_extract(name, "^#([0-9]{1,7})$", 1), 10, 16)
+        number = F.coalesce(
+            F.when(name.rlike("^#[0-9]{1,7}$"), decimal),
+            F.when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.substring(name, 3, 6)),
+        )
+        code = F.lpad(number, 8, "0")
+        valid = ~F.upper(code).between("0000D800", "0000DFFF") & (F.upper(code) <= "0010FFFF")
+        character = F.coalesce(
+            F.try_element_at(names, name), F.when(valid, F.decode(F.unhex(code), "UTF-32"))
+        )
+        rest = F.substring(piece, F.length(name) + 3, F.length(piece))
+        return F.when((name != "") & character.isNotNull(), F.concat(character, rest)).otherwise(piece)
+
+    pieces = F.split(as_column(text), "(?=&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);)", -1)
+    return F.array_join(F.transform(pieces, one), "")
+
+
 def plain_text(html: Column | str) -> Column:
-    """Text without tags, with the common character references resolved."""
-    text = F.regexp_replace(as_column(html), _TAG, "")
-    for reference, character in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-        ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    """Text without tags, with its character references resolved."""
+    return resolved(F.regexp_replace(as_column(html), _TAG, ""))
+
+
+# What holds no elements of its own: comments, scripts and styles.
+_OPAQUE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+
+
+def element_rows(pages: DataFrame, tag: str, html: str = "html") -> DataFrame:
+    """One row per element of a tag, nested ones included: row_number, depth, row_html.
+
+    A page is cut at the tags of that name. The running sum of opening and closing tags is
+    the depth, and an element ends with the next closing tag of its depth, or with the page.
+    Elements are numbered from 0 as they open; depth is 0 for outer ones. Pages that are
+    repeated in full are read once and returned as often as they occur.
+    """
+    kept = [c for c in pages.columns if c != html]
+    page = ["_key", "_hash"]
+    here = rf"</?{tag}(?=[\s/>])"
+    pieces = F.split(F.regexp_replace(F.col(html), _OPAQUE, ""), rf"(?i)(?={here})", -1)
+    each = pages.select(
+        F.struct(*kept).alias("_key"), F.xxhash64(html).alias("_hash"),
+        F.posexplode(pieces).alias("_at", "_piece"),
+    )
+    # Placed once by page; what follows groups and sorts inside that placement.
+    single = each.repartition(*page).groupBy(*page, "_at").agg(
+        F.first("_piece").alias("_piece"), F.count(F.lit(1)).alias("_copies")
+    )
+    closes = F.col("_piece").rlike(rf"(?i)^</{tag}(?=[\s/>])")
+    opens = F.col("_piece").rlike(rf"(?i)^<{tag}(?=[\s/>])")
+    in_order = Window.partitionBy(*page).orderBy("_at")
+    stepped = single.withColumn("_step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumn(
+        "_depth", F.sum("_step").over(in_order) + (F.col("_step") == -1).cast("int")
+    )
+    # Opening and closing tags of one depth take turns, so the next one is the end.
+    of_depth = Window.partitionBy(*page, "_depth", F.col("_step") == 0).orderBy("_at")
+    ended = stepped.withColumn("_end", F.lead("_at").over(of_depth))
+    whole = ended.groupBy(*page).agg(
+        F.sort_array(F.collect_list(F.struct("_at", "_piece", "_step", "_depth", "_end"))).alias("_all"),
+        F.max("_copies").alias("_copies"),
+        F.min(F.when(F.col("_step") == 1, F.col("_depth"))).alias("_outer"),
+    )
+
+    def element(o: Column) -> Column:
+        length = F.coalesce(o["_end"], F.size("_all")) - o["_at"]
+        inside = F.array_join(F.transform(F.slice("_all", o["_at"] + 1, length), lambda p: p["_piece"]), "")
+        return F.struct(
+            (o["_depth"] - F.col("_outer")).cast("int").alias("depth"),
+            F.regexp_replace(inside, "(?s)^<[^>]*>", "").alias("row_html"),
+        )
+
+    found = F.transform(F.filter("_all", lambda p: p["_step"] == 1), element)
+    rows = whole.select("_key", "_copies", F.posexplode(found).alias("row_number", "_element"))
+    repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return repeated.select(
+        *[F.col("_key")[c].alias(c) for c in kept], "row_number", "_element.depth", "_element.row_html"
+    )
 
 
 def page_rows(
@@ -87,6 +163,17 @@ def injury_report(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
+def nested_links(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Every list item, also inside others, with its depth, the target and the text of its link."""
+    rows = element_rows(pages, "li", html)
+    kept = [c for c in rows.columns if c != "row_html"]
+    return rows.select(
+        *kept,
+        F.coalesce(attribute(open_tag("row_html", "a"), "href"), F.lit("")).alias("href"),
+        plain_text("row_html").alias("label"),
+    )
+
+
 def link_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """Every list item of the pages with the target and the text of its link."""
     rows = page_rows(pages, "li", None, html, skip=0)

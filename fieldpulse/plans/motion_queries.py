@@ -8,14 +8,16 @@ from fieldpulse.functions.angles import angle_difference
 from fieldpulse.operators import mechanics, pairing, slices
 from fieldpulse.operators.profile import rescale
 from fieldpulse.operators.rollup import path_rollup, turn_rollup
-from fieldpulse.operators.series import Series, settle, with_elapsed, with_time_index
+from fieldpulse.operators.series import Series, back, look_back, settle, with_elapsed, with_time_index
 from fieldpulse.plans import inputs, jobs
-from fieldpulse.plans.inputs import rounded, with_sql
+from fieldpulse.plans.inputs import rounded, table, with_sql
 
 # Series longer than this are cut.
 LONG = 1_000_000
 # Small enough that the supplied users are cut, so the cut form is compared too.
 SHORT = 25
+# Rows of a chunk where two keys share all lines.
+TEXT_ROWS = 5_000
 
 
 def users(max_rows: int | None = LONG) -> Series:
@@ -44,6 +46,17 @@ def _series_time(max_rows):
     return run
 
 
+def series_text_order(spark, folder):
+    """Two long series in the order of a text that very many rows share."""
+    order = ("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    lines = table(spark, folder, "lineitem").select("l_linestatus", *order)
+    looked = look_back(lines, Series("l_linestatus", order, TEXT_ROWS), ["l_orderkey"], 2, "position")
+    return looked.select(
+        *order, "position",
+        F.col(back("l_orderkey", 1)).alias("one_back"), F.col(back("l_orderkey", 2)).alias("two_back"),
+    )
+
+
 def _angles(offset, fold):
     def run(spark, folder):
         turned = mechanics.correct_angles(inputs.event_samples(spark, folder), offset, fold)
@@ -234,6 +247,7 @@ def window_slice(spark, folder):
 QUERIES = {
     "series_index_time": _series_time(LONG),
     "series_index_time_cut": _series_time(SHORT),
+    "series_text_order": series_text_order,
     "signed_turn": signed_turn,
     "angle_diff_fold": _angles(90.0, True),
     "angle_diff_plain": _angles(90.0, False),
@@ -418,6 +432,10 @@ _INJURED_USERS = """hurt AS (SELECT DISTINCT user_id, event_type FROM events WHE
 ORACLES = {
     "series_index_time": _TIME_SQL,
     "series_index_time_cut": _TIME_SQL,
+    "series_text_order": """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+  row_number() OVER w - 1 AS position, lag(l_orderkey, 1) OVER w AS one_back, lag(l_orderkey, 2) OVER w AS two_back
+FROM lineitem WINDOW w AS (PARTITION BY l_linestatus
+  ORDER BY l_returnflag NULLS FIRST, l_orderkey, l_linenumber, l_partkey, l_extendedprice)""",
     "signed_turn": with_sql(inputs.SQL_EVENT_SAMPLES) + """SELECT event_id,
   round(degrees(atan2(sin(radians(o - dir)), cos(radians(o - dir)))), 4) AS turn FROM samples""",
     "angle_diff_fold": _angle_sql(90, True),

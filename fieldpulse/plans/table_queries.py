@@ -311,6 +311,25 @@ def html_rows(spark, folder):
     return pages.link_rows(table(spark, folder, "pages").drop("url"))
 
 
+def nested_lists(spark, folder):
+    """A page per order with its lines as a list inside a list, then read back as rows."""
+    lines = table(spark, folder, "lineitem")
+    item = F.concat(
+        F.lit("<LI class='n'><a href='/part/"), F.col("l_partkey"), F.lit("'>part "), F.col("l_partkey"),
+        F.lit(" &copy;&#233;&#x41;&amp;lt; "), F.col("l_returnflag"), F.lit("</a></li>\n"),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("item"))))
+    made = lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(ordered.alias("items")).select(
+        "page_id",
+        F.concat(
+            F.lit("<!-- <li>no</li> --><ul><li>order "), F.col("page_id"), F.lit("<ul>"),
+            F.array_join(F.transform("items", lambda i: i["item"]), ""),
+            F.lit("</ul></li><li>end &middot; &nothing;"),
+        ).alias("html"),
+    )
+    return pages.nested_links(made)
+
+
 def injury_report(spark, folder):
     """One report page per nation made of its customers, then read back as rows."""
     customers = table(spark, folder, "customer").join(
@@ -358,6 +377,7 @@ QUERIES = {
     "lower_body_summary": lower_body_summary,
     "summary_left": summary_left,
     "html_rows": html_rows,
+    "nested_lists": nested_lists,
     "injury_report": injury_report,
 }
 
@@ -537,6 +557,18 @@ FROM events WHERE {_INJURED_PLAYERS} GROUP BY user_id""",
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS label
 FROM (SELECT page_id, unnest(items) AS item, unnest(range(1, len(items) + 1)) AS n
   FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) AS items FROM pages))""",
+    "nested_lists": """WITH l AS (
+  SELECT l_orderkey AS page_id, l_partkey, 'part ' || l_partkey || ' ©éA&lt; ' || l_returnflag AS label,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS place FROM lineitem),
+o AS (
+  SELECT page_id, string_agg(label || chr(10), '' ORDER BY place) AS labels, count(*) AS n,
+    min_by(l_partkey, place) AS first FROM l GROUP BY page_id)
+SELECT page_id, 0 AS row_number, 0 AS depth, '/part/' || first AS href, 'order ' || page_id || labels AS label FROM o
+UNION ALL
+SELECT page_id, CAST(place AS INTEGER), 1,
+  '/part/' || l_partkey, label FROM l
+UNION ALL
+SELECT page_id, CAST(n + 1 AS INTEGER), 0, '', 'end · &nothing;' FROM o""",
     "injury_report": """SELECT c_custkey AS page_id, 1 AS row_number,
   CASE c_custkey % 3 WHEN 0 THEN 'l' || c_custkey || '.png' WHEN 1 THEN 's' || c_custkey || '.png'
     ELSE '' END AS logo, n_name AS team, c_name AS player, c_mktsegment AS position,

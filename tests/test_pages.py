@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 from fieldpulse.operators import pages as P
 
 PAGE = """
@@ -39,3 +42,55 @@ def test_whole_pages_are_read(spark):
     html = "<ul><li>0</li>" + "<p>" + "x" * 300_000 + "</p>" + "<li><a href='/end'>end</a></li></ul>"
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
     assert [r["href"] for r in P.link_rows(df).collect()] == ["", "/end"]
+
+
+class _Lists(HTMLParser):
+    """Text and depth of every list item, by a real parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows, self.open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "li":
+            self.open.append(len(self.rows))
+            self.rows.append([len(self.open) - 1, ""])
+
+    def handle_endtag(self, tag):
+        if tag == "li" and self.open:
+            self.open.pop()
+
+    def handle_data(self, data):
+        for at in self.open:
+            self.rows[at][1] += data
+
+
+def test_nested_lists_equal_a_parser(spark):
+    rng = random.Random(2)
+
+    def made(depth):
+        items = []
+        for _ in range(rng.randrange(1, 4)):
+            inner = f"<ul class='x'>{made(depth + 1)}</ul>" if depth < 4 and rng.random() < 0.5 else ""
+            name = rng.choice(["a", "b &amp; c", "&lt;li&gt;", "&#228;&#xE9;&#128512;", "&copy; &zzz; &", "liked <link> x"])
+            items.append(f"<LI id=1>{name}{inner}tail</li >")
+        return "\n".join(items)
+
+    texts = [f"<ul>{made(0)}</ul>" for _ in range(30)] + ["<li>open <ul><li>in</li>", "none", "", None]
+    texts += ["<style>li{}</style><script>'<li>'</script><!-- <li> --><li>one</li>"] * 3
+    df = spark.createDataFrame([(min(i, 34), t) for i, t in enumerate(texts)], "page_id int, html string").repartition(5)
+    got = sorted((r.page_id, r.row_number, r.depth, r.label) for r in P.nested_links(df).collect())
+    want = []
+    for i, text in enumerate(texts):
+        parser = _Lists()
+        parser.feed(text or "")
+        parser.close()
+        want += [(min(i, 34), n, depth, label) for n, (depth, label) in enumerate(parser.rows)]
+    assert got == sorted(want)
+
+
+def test_references_are_resolved_once(spark):
+    texts = ["&amp;lt;", "&#0;&#xD800;&#x110000;", "&nbsp;&eacute;&hellip;", "a & b; &;", None, "&amp;&amp;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(P.resolved("t")).collect()]
+    assert got == ["&lt;", "\x00&#xD800;&#x110000;", " é…", "a & b; &;", None, "&&"]
