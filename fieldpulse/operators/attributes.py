@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldpulse import schemas
 from fieldpulse.functions.keys import build_key
 from fieldpulse.operators import cleaning
 
@@ -34,9 +39,10 @@ def join_injuries(plays: DataFrame, injuries: DataFrame) -> DataFrame:
     return joined.select(*[F.col(c).try_cast(t).alias(c) for c, t in _LOWER_BODY_TYPES.items()])
 
 
-def _once(df: DataFrame, *keys: str) -> DataFrame:
-    """Equal rows once, placed by the keys of the join that follows, so that it moves them no more."""
-    return df.repartition(*keys).distinct()
+def _gathered(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], name: str) -> DataFrame:
+    """One row per key with the different rows of its attributes, of which there are few."""
+    known = df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    return known.groupBy(*keys).agg(F.collect_set(F.struct(*attributes)).alias(name))
 
 
 def join_reviews(
@@ -49,73 +55,51 @@ def join_reviews(
     """Every player in every play with position, play, game and review attributes.
 
     A player listed under several jersey numbers gives a row per number; equal
-    rows occur once. The result holds every column taken from the inputs, so it
-    has no equal rows when the inputs have none: the narrow inputs are reduced
-    instead of the wide result.
+    rows occur once.
+
+    All that belongs to a play meets at its key: roles, plays and reviews are gathered by
+    game and play, each moved once, and reviews find their player inside the row. Games
+    reach the plays through the narrow list of play keys. The players are then placed once
+    more, by id, for their positions. A player without an id, of which there may be many,
+    has a place of their own, and no position.
     """
-    joined = (
-        _once(roles.select("GameKey", "PlayID", "GSISID", "Role"), "GSISID")
-        .join(_once(positions.select("GSISID", "Number", "Position"), "GSISID"), "GSISID", "left")
-        .join(
-            _once(
-                plays.select(
-                    "GameKey", "PlayID", "YardLine", "Quarter", "Play_Type", "Poss_Team",
-                    "Score_Home_Visiting", "Game_Date",
-                ),
-                "GameKey", "PlayID",
-            ),
-            ["GameKey", "PlayID"],
-            "left",
-        )
-        .join(
-            _once(
-                games.select(
-                    "GameKey", "Game_Site", "Start_Time", "HomeTeamCode", "VisitTeamCode",
-                    "StadiumType", "Turf", "GameWeather", "Temperature",
-                ),
-                "GameKey",
-            ),
-            "GameKey",
-            "left",
-        )
-        .join(
-            _once(
-                reviews.select(
-                    "GameKey", "PlayID", "GSISID", "Player_Activity_Derived",
-                    "Primary_Impact_Type", "Primary_Partner_Activity_Derived",
-                    "Primary_Partner_GSISID",
-                ),
-                "GameKey", "PlayID", "GSISID",
-            ),
-            ["GameKey", "PlayID", "GSISID"],
-            "left",
+    by_play = ["GameKey", "PlayID"]
+    listed = _gathered(roles, by_play, ["GSISID", "Role"], "_players")
+    reviewed = _gathered(reviews, by_play, ["GSISID", *schemas.REVIEW_ATTRIBUTES], "_reviews")
+    played = _gathered(plays, by_play, schemas.PLAY_ATTRIBUTES, "_plays")
+    hosted = _gathered(games, ["GameKey"], schemas.GAME_ATTRIBUTES, "_games")
+    seen = listed.select(*by_play).join(hosted, "GameKey", "left")
+    joined = listed.join(seen, by_play).join(played, by_play, "left").join(reviewed, by_play, "left")
+    # Rows without a whole play key match no play; some still have a game.
+    partial = (
+        roles.filter(F.col("GameKey").isNull() | F.col("PlayID").isNull())
+        .select(*by_play, "GSISID", "Role").distinct()
+        .join(hosted, "GameKey", "left")
+        .select(
+            *by_play, F.array(F.struct("GSISID", "Role")).alias("_players"), "_games",
+            F.lit(None).cast(played.schema["_plays"].dataType).alias("_plays"),
+            F.lit(None).cast(reviewed.schema["_reviews"].dataType).alias("_reviews"),
         )
     )
-    return joined.select(
-        build_key("GSISID", "GameKey", "PlayID").alias("PlayKey"),
-        "GSISID",
-        "GameKey",
-        "PlayID",
-        "Position",
-        "Number",
-        "Role",
-        "Game_Date",
-        "YardLine",
-        "Quarter",
-        "Play_Type",
-        "Poss_Team",
-        "Score_Home_Visiting",
-        "Game_Site",
-        "Start_Time",
-        "HomeTeamCode",
-        "VisitTeamCode",
-        "StadiumType",
-        "Turf",
-        "GameWeather",
-        "Temperature",
-        "Player_Activity_Derived",
-        "Primary_Impact_Type",
-        "Primary_Partner_Activity_Derived",
+    each = joined.unionByName(partial).withColumn("_player", F.explode("_players"))
+    of_player = F.filter("_reviews", lambda r: r["GSISID"] == F.col("_player.GSISID"))
+    for name, values in (("_play", F.col("_plays")), ("_game", F.col("_games")), ("_review", of_player)):
+        each = each.withColumn(name, F.explode_outer(values))
+    whole = each.select(
+        *by_play, "_player.GSISID", "_player.Role",
+        *[F.col(f"_play.{c}").alias(c) for c in schemas.PLAY_ATTRIBUTES],
+        *[F.col(f"_game.{c}").alias(c) for c in schemas.GAME_ATTRIBUTES],
+        *[F.col(f"_review.{c}").alias(c) for c in schemas.REVIEW_ATTRIBUTES],
+    )
+    held = _gathered(positions, ["GSISID"], ["Number", "Position"], "_held")
+    numbered = held.select(F.struct("GSISID", F.lit(0).alias("spread")).alias("_id"), "_held")
+    spread = F.when(F.col("GSISID").isNull(), 1 + F.pmod(F.xxhash64(*by_play, "Role"), F.lit(1 << 20))).otherwise(0)
+    placed = whole.withColumn("_id", F.struct("GSISID", spread.cast("int").alias("spread")))
+    described = placed.join(numbered, "_id", "left").withColumn("_held", F.explode_outer("_held"))
+    return described.select(
+        build_key("GSISID", "GameKey", "PlayID").alias("PlayKey"), "GSISID", "GameKey", "PlayID",
+        "_held.Position", "_held.Number", "Role",
+        *schemas.PLAY_ATTRIBUTES, *schemas.GAME_ATTRIBUTES, *schemas.REVIEWED,
         cleaning.partner_id("Primary_Partner_GSISID").alias("Primary_Partner_GSISID"),
         build_key("Primary_Partner_GSISID", "GameKey", "PlayID").alias("OpponentKey"),
     )

@@ -141,7 +141,7 @@ def run_lower_body(spark: SparkSession, catalog: Catalog, out: str) -> None:
         path_rollup(written, lower_body_series(PLAY_ROWS)),
     )
     contract = schemas.INJURY_SUMMARY_TABLE
-    sinks.write_parquet(schemas.conform(summary, contract), f"{out}/Summary_Injuries.parquet")
+    sinks.write_by_contract(summary, f"{out}/Summary_Injuries.parquet", contract)
 
 
 def run_concussions(spark: SparkSession, catalog: Catalog, out: str) -> None:

@@ -244,6 +244,20 @@ def window_slice(spark, folder):
     return rounded(sliced.select("user_id", "event_id", "time", "play_time"))
 
 
+def window_slice_in_bins(spark, folder):
+    """Samples in windows around every fifth sample of a user; windows overlap, some are endless."""
+    timed = with_time_index(inputs.event_samples(spark, folder), users())
+    chosen = timed.filter(F.col("event_id") % 5 == 0)
+    windows = chosen.select(
+        "user_id",
+        F.col("event_id").alias("window_id"),
+        (F.col("time") - 0.35).alias("time_start"),
+        F.when(F.col("event_id") % 35 == 0, F.lit(1e18)).otherwise(F.col("time") + 0.75).alias("time_end"),
+    )
+    sliced = slices.window_slice_in_bins(timed, windows, 0.5, "user_id")
+    return rounded(sliced.select("user_id", "event_id", "window_id", "time", "play_time"))
+
+
 QUERIES = {
     "series_index_time": _series_time(LONG),
     "series_index_time_cut": _series_time(SHORT),
@@ -272,6 +286,7 @@ QUERIES = {
     "concussion_rollup": concussion_rollup,
     "all_tracking": all_tracking,
     "window_slice": window_slice,
+    "window_slice_in_bins": window_slice_in_bins,
 }
 
 
@@ -517,6 +532,15 @@ FROM found f LEFT JOIN pairs p ON f."PlayKey" = p.opponent""",
   SELECT * FROM first UNION ALL
   SELECT 'u' || e.user_id, time, x, y, "Speed", torque, event_type, 'u' || e.user_id, NULL, NULL
   FROM epushed e JOIN hurt h ON e.user_id = h.user_id)""",
+    "window_slice_in_bins": with_sql(
+        inputs.SQL_EVENT_SAMPLES,
+        """timed AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)
+    * CAST(0.1 AS DOUBLE) AS time FROM samples)""",
+        """windows AS (SELECT user_id, event_id AS window_id, time - CAST(0.35 AS DOUBLE) AS a,
+    CASE WHEN event_id % 35 = 0 THEN CAST(1e18 AS DOUBLE) ELSE time + CAST(0.75 AS DOUBLE) END AS b
+    FROM timed WHERE event_id % 5 = 0)""",
+    ) + """SELECT t.user_id, event_id, window_id, round(time, 4) AS time, round(time - a, 4) AS play_time
+FROM timed t JOIN windows w ON t.user_id = w.user_id AND time BETWEEN a AND b""",
     "window_slice": with_sql(
         inputs.SQL_EVENT_SAMPLES,
         """timed AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)

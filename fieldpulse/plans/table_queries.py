@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldpulse.functions import vocabulary
 from fieldpulse.functions import keys as K
@@ -12,6 +13,7 @@ from fieldpulse.operators.rollup import path_rollup
 from fieldpulse.operators.series import Series, settle
 from fieldpulse.plans import inputs, jobs, motion_queries
 from fieldpulse.plans.inputs import rounded, sql_case, sql_pick, table, with_sql
+from fieldpulse.sources import files
 
 
 def key_build(spark, folder):
@@ -330,6 +332,27 @@ def nested_lists(spark, folder):
     return pages.nested_links(made)
 
 
+def damaged_lines(spark, folder):
+    """Lines written as text, some of them damaged, and read again with what is wrong."""
+    lines = table(spark, folder, "lineitem")
+    number = F.col("l_orderkey") + F.col("l_partkey")
+    fields = [
+        F.col("l_orderkey").cast("string"),
+        F.when(number % 7 == 0, F.lit("x1")).otherwise(F.col("l_linenumber").cast("string")),
+        F.when(number % 11 == 0, F.lit("")).otherwise(F.col("l_quantity").cast("string")),
+        F.when(number % 5 == 0, F.lit("31-12")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")),
+        F.when(number % 3 == 0, F.concat(F.lit('"a,'), F.col("l_returnflag"), F.lit('"'))).otherwise(F.col("l_returnflag")),
+    ]
+    whole = F.concat_ws(",", *fields)
+    made = lines.select(
+        F.when(number % 13 == 0, F.concat_ws(",", *fields[:3]))
+        .when(number % 17 == 0, F.concat(whole, F.lit(",more")))
+        .otherwise(whole).alias("line")
+    )
+    schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_shipdate date, l_returnflag string"
+    return files.parsed_lines(made, StructType.fromDDL(schema)).drop("raw")
+
+
 def injury_report(spark, folder):
     """One report page per nation made of its customers, then read back as rows."""
     customers = table(spark, folder, "customer").join(
@@ -378,6 +401,7 @@ QUERIES = {
     "summary_left": summary_left,
     "html_rows": html_rows,
     "nested_lists": nested_lists,
+    "damaged_lines": damaged_lines,
     "injury_report": injury_report,
 }
 
@@ -557,6 +581,16 @@ FROM events WHERE {_INJURED_PLAYERS} GROUP BY user_id""",
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS label
 FROM (SELECT page_id, unnest(items) AS item, unnest(range(1, len(items) + 1)) AS n
   FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) AS items FROM pages))""",
+    "damaged_lines": """WITH d AS (
+  SELECT *, l_orderkey + l_partkey AS k, (l_orderkey + l_partkey) % 13 = 0 AS cut FROM lineitem)
+SELECT l_orderkey, CASE WHEN k % 7 <> 0 THEN l_linenumber END AS l_linenumber,
+  CASE WHEN k % 11 <> 0 THEN l_quantity END AS l_quantity,
+  CASE WHEN k % 5 <> 0 AND NOT cut THEN CAST(l_shipdate AS DATE) END AS l_shipdate,
+  CASE WHEN NOT cut THEN CASE WHEN k % 3 = 0 THEN 'a,' || l_returnflag ELSE l_returnflag END END AS l_returnflag,
+  NULLIF(concat_ws('; ', CASE WHEN k % 7 = 0 THEN 'l_linenumber: x1' END,
+    CASE WHEN k % 5 = 0 AND NOT cut THEN 'l_shipdate: 31-12' END,
+    CASE WHEN k % 17 = 0 AND NOT cut THEN 'surplus fields' END, CASE WHEN cut THEN 'missing fields' END), '') AS damage
+FROM d""",
     "nested_lists": """WITH l AS (
   SELECT l_orderkey AS page_id, l_partkey, 'part ' || l_partkey || ' ©éA&lt; ' || l_returnflag AS label,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS place FROM lineitem),

@@ -134,6 +134,18 @@ INJURY_SUMMARY_TABLE = _schema(
 )
 
 
+# The attributes of plays, games and reviews, in the order of the joined table.
+PLAY_ATTRIBUTES = (
+    "Game_Date", "YardLine", "Quarter", "Play_Type", "Poss_Team", "Score_Home_Visiting",
+)
+GAME_ATTRIBUTES = (
+    "Game_Site", "Start_Time", "HomeTeamCode", "VisitTeamCode", "StadiumType", "Turf",
+    "GameWeather", "Temperature",
+)
+REVIEWED = ("Player_Activity_Derived", "Primary_Impact_Type", "Primary_Partner_Activity_Derived")
+REVIEW_ATTRIBUTES = (*REVIEWED, "Primary_Partner_GSISID")
+
+
 def conform(df: DataFrame, schema: StructType, optional: Collection[str] = ()) -> DataFrame:
     """Select and cast to a table contract.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Collection
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fieldpulse.schemas import conform
@@ -28,6 +31,41 @@ def write_plays(df: DataFrame, path: str, key: str = "PlayKey", files: int | Non
     placed.sortWithinPartitions(key, "time").write.mode("overwrite").parquet(path)
 
 
+def write_with_quarantine(parsed: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write parsed lines in one pass, damaged ones to a side table; (sound rows, damaged ones).
+
+    Both are partitions of one written table, so the text is read and parsed once.
+    """
+    marked = parsed.withColumn("damaged", F.col("damage").isNotNull().cast("int"))
+    marked.write.mode("overwrite").partitionBy("damaged").parquet(path)
+    written = parsed.sparkSession.read.parquet(path)
+    sound = written.filter("damaged = 0").drop("damaged", "damage", "raw")
+    return sound, written.filter("damaged = 1").drop("damaged")
+
+
+def write_by_contract(
+    df: DataFrame, path: str, schema: StructType, optional: Collection[str] = (), lost: int = 0
+) -> dict[str, int]:
+    """Write a table by its contract; how many rows, and how many values of each column were lost.
+
+    The counts are taken while the rows are written. More than ``lost`` values that do not
+    fit their type raise, after the write, with the columns they are in.
+    """
+    seen = Observation()
+    fields = [f for f in schema.fields if f.name in df.columns]
+    misfits = [
+        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+        for f in fields
+    ]
+    watched = df.observe(seen, F.count(F.lit(1)).alias("_rows"), *misfits)
+    conform(watched, schema, optional).write.mode("overwrite").option("compression", "snappy").parquet(path)
+    counts = dict(seen.get)
+    misfit = {f.name: counts[f.name] for f in fields if counts[f.name]}
+    if sum(misfit.values()) > lost:
+        raise ValueError(f"values that do not fit {path}: {misfit}")
+    return {"rows": counts["_rows"], **misfit}
+
+
 def write_by_source(df: DataFrame, path: str, source: str = "source") -> None:
     """One folder per source file."""
     df.write.mode("overwrite").partitionBy(source).parquet(path)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,20 @@ def test_known_and_impossible_times(spark):
     df = spark.createDataFrame([("a", None), ("b", 44.0), ("c", 43.9)], "PlayKey string, Time double")
     assert slices.known_times(df).count() == 2
     assert [r["PlayKey"] for r in slices.impossible_times(df).collect()] == ["b"]
+
+
+def test_windows_in_bins_equal_plain_windows(spark):
+    rng = random.Random(9)
+    samples = [(rng.choice(["hot", "hot", "a", None]), i, rng.choice([None, float("nan"), rng.uniform(-5, 40)])) for i in range(400)]
+    windows = []
+    for w in range(60):
+        at = rng.uniform(-5, 40)
+        end = rng.choice([at, at + 1.5, at + 30, at - 1, None, float("inf"), 1e300])
+        windows.append((rng.choice(["hot", "a", "b", None]), w, rng.choice([at, at, float("-inf"), None]), end))
+    s = spark.createDataFrame(samples, "InjuryKey string, i int, time double")
+    w = spark.createDataFrame(windows, "InjuryKey string, w int, time_start double, time_end double")
+    want = sorted(map(repr, slices.window_slice(s, w).collect()))
+    assert len(want) > 500
+    for width in (0.1, 3.0, 1000.0):
+        found = slices.window_slice_in_bins(s, w, width)
+        assert sorted(map(repr, found.select(slices.window_slice(s, w).columns).collect())) == want

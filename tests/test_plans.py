@@ -1,6 +1,7 @@
 import re
 
-from fieldpulse.operators import mechanics, pairing
+from fieldpulse import schemas
+from fieldpulse.operators import attributes, mechanics, pairing
 from fieldpulse.operators.rollup import path_rollup
 from fieldpulse.operators.series import Series
 from fieldpulse.plans import inputs
@@ -63,3 +64,30 @@ def test_pairs_come_from_one_scan_of_the_samples(spark, folder):
 def test_filters_reach_the_scan(spark, folder):
     assert "PushedFilters: [IsNotNull(value), GreaterThanOrEqual(value,150.0)" in plan(
         inputs.league_reviews(spark, folder))
+
+
+def test_five_way_join_moves_roles_twice(spark):
+    """By play and by player, with broadcasts off; what else moves is narrow or reduced."""
+    def made(ddl):
+        return spark.createDataFrame([], ddl)
+
+    roles = made("GameKey int, PlayID int, GSISID int, Role string")
+    positions = made("GSISID int, Number string, Position string")
+    plays = made("GameKey int, PlayID int, " + ", ".join(f"{c} string" for c in schemas.PLAY_ATTRIBUTES))
+    games = made("GameKey int, " + ", ".join(f"{c} string" for c in schemas.GAME_ATTRIBUTES))
+    reviews = made("GameKey int, PlayID int, GSISID int, " + ", ".join(f"{c} string" for c in schemas.REVIEW_ATTRIBUTES))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = attributes.join_reviews(*[t.union(t).repartition(3) for t in (roles, positions, plays, games, reviews)])
+        text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Cartesian" not in text and "NestedLoop" not in text
+    placed = re.findall(r"[^d]Exchange hashpartitioning\(([^\n]*)", text)
+    # Whole roles move by play (the rest by play are keys, plays and reviews), and by player.
+    assert sum(p.startswith("_id#") for p in placed) == 1
+    assert sum(p.startswith("GameKey") and "PlayID" in p and "Role" not in p for p in placed) == 5
+    assert len(placed) <= 13

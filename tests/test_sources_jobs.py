@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldpulse import schemas
 from fieldpulse.functions import vocabulary
@@ -28,6 +29,36 @@ def test_ragged_and_bad_fields(spark, tmp_path):
     assert files.sample_rows(few, ["x"], 2).count() == 2
 
 
+def test_damaged_lines_leave_a_trace(spark, tmp_path):
+    schema = StructType.fromDDL("id int, day date, name string")
+    (tmp_path / "a.csv").write_text('id,day,name\n1,2020-01-02,x\n\nx,2020-13-01,"a,b"\n2,,\n')
+    (tmp_path / "b.csv").write_text("id,day,name\n3,2020-01-03\n4,2020-01-04,y,z\n 5 ,2020-01-05,\n")
+    lines = files.read_lines(spark, str(tmp_path / "*.csv"))
+    parsed = files.parsed_lines(lines, schema)
+    sound, damaged = sinks.write_with_quarantine(parsed, str(tmp_path / "out"))
+    assert sorted((r.source, r.id, r.day and r.day.day, r.name) for r in sound.collect()) == [
+        ("a.csv", 1, 2, "x"), ("a.csv", 2, None, None), ("b.csv", 5, 5, None)
+    ]
+    assert sorted((r.source, r.id, r.name, r.damage, r.raw) for r in damaged.collect() if r.id) == [
+        ("b.csv", 3, None, "missing fields", "3,2020-01-03"),
+        ("b.csv", 4, "y", "surplus fields", "4,2020-01-04,y,z"),
+    ]
+    other = [tuple(r) for r in damaged.filter("id is null").collect()]
+    assert other == [("a.csv", None, None, "a,b", "id: x; day: 2020-13-01", 'x,2020-13-01,"a,b"')]
+
+
+def test_contract_is_checked_in_the_write(spark, tmp_path):
+    schema = StructType.fromDDL("PlayKey string, n smallint, t double")
+    df = spark.createDataFrame([("a", 1, "1.5"), ("b", 70_000, "x"), ("c", None, None)], "PlayKey string, n int, t string")
+    with pytest.raises(ValueError, match="'n': 1"):
+        sinks.write_by_contract(df, str(tmp_path / "strict"), schema)
+    assert sinks.write_by_contract(df, str(tmp_path / "lax"), schema, lost=2) == {"rows": 3, "n": 1, "t": 1}
+    back = spark.read.parquet(str(tmp_path / "lax"))
+    assert back.schema == schema and sorted(str(r.n) for r in back.collect()) == ["1", "None", "None"]
+    with pytest.raises(ValueError, match="missing"):
+        sinks.write_by_contract(df.drop("t"), str(tmp_path / "none"), schema)
+
+
 def test_files_by_prefix(spark, tmp_path):
     for name in ("NGS-2016-pre.csv", "NGS-2017-reg.csv", "other.csv"):
         (tmp_path / name).write_text("GSISID,Number,Position\n7,80,WR\n")
