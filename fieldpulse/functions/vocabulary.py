@@ -210,22 +210,24 @@ BODY = [
 ]
 
 # Known game-event labels.
-EVENTS = """
-ball_snap drop_kick end_path extra_point extra_point_attempt extra_point_blocked
-extra_point_fake extra_point_missed fair_catch field_goal field_goal_attempt
-field_goal_blocked field_goal_fake field_goal_missed field_goal_play first_contact
-free_kick free_kick_play fumble fumble_defense_recovered fumble_offense_recovered
-handoff huddle_break_offense huddle_start_offense kick_received kick_recovered
-kickoff kickoff_land kickoff_play lateral line_set man_in_motion onside_kick
-out_of_bounds pass_arrived pass_forward pass_lateral pass_outcome_caught
-pass_outcome_incomplete pass_outcome_interception pass_outcome_touchdown pass_shovel
-pass_tipped penalty_accepted penalty_declined penalty_flag play_action play_submit
-punt punt_blocked punt_downed punt_fake punt_land punt_muffed punt_play punt_received
-qb_kneel qb_sack qb_spike qb_strip_sack run run_pass_option safety shift snap_direct
-tackle timeout timeout_away timeout_booth_review timeout_halftime timeout_home
-timeout_injury timeout_quarter timeout_tv touchback touchdown two_minute_warning
-two_point_conversion two_point_play xp_fake
-""".split()
+EVENTS = [
+    "ball_snap", "drop_kick", "end_path", "extra_point", "extra_point_attempt",
+    "extra_point_blocked", "extra_point_fake", "extra_point_missed", "fair_catch", "field_goal",
+    "field_goal_attempt", "field_goal_blocked", "field_goal_fake", "field_goal_missed",
+    "field_goal_play", "first_contact", "free_kick", "free_kick_play", "fumble",
+    "fumble_defense_recovered", "fumble_offense_recovered", "handoff", "huddle_break_offense",
+    "huddle_start_offense", "kick_received", "kick_recovered", "kickoff", "kickoff_land",
+    "kickoff_play", "lateral", "line_set", "man_in_motion", "onside_kick", "out_of_bounds",
+    "pass_arrived", "pass_forward", "pass_lateral", "pass_outcome_caught",
+    "pass_outcome_incomplete", "pass_outcome_interception", "pass_outcome_touchdown",
+    "pass_shovel", "pass_tipped", "penalty_accepted", "penalty_declined", "penalty_flag",
+    "play_action", "play_submit", "punt", "punt_blocked", "punt_downed", "punt_fake", "punt_land",
+    "punt_muffed", "punt_play", "punt_received", "qb_kneel", "qb_sack", "qb_spike",
+    "qb_strip_sack", "run", "run_pass_option", "safety", "shift", "snap_direct", "tackle",
+    "timeout", "timeout_away", "timeout_booth_review", "timeout_halftime", "timeout_home",
+    "timeout_injury", "timeout_quarter", "timeout_tv", "touchback", "touchdown",
+    "two_minute_warning", "two_point_conversion", "two_point_play", "xp_fake",
+]
 
 # Position groups used for modelling.
 POSITION_GROUPS = {
