@@ -85,8 +85,19 @@ def distinct_profile(
     return df.agg(*found).select(F.explode(entries).alias("e")).select("e.column", "e.n_unique")
 
 
+def _distinct(df: DataFrame, column: str) -> DataFrame:
+    """The number of distinct filled values of a column, which alone is read."""
+    return df.groupBy(F.col(column).alias("v")).agg(F.lit(1)).agg(F.count("v"))
+
+
 def distinct_counts(df: DataFrame, *columns: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct filled values of several columns, for the table or per group."""
+    """Distinct filled values of several columns, for the table or per group.
+
+    Figures of the table come from one narrow grouping per column, so no row is widened.
+    """
+    if not by:
+        figures = [_distinct(df, c).scalar().alias(f"distinct_{c}") for c in columns]
+        return df.sparkSession.range(1).select(*figures)
     return df.groupBy(*by).agg(*[F.countDistinct(c).alias(f"distinct_{c}") for c in columns])
 
 
@@ -149,7 +160,7 @@ def narrow_report(
 ) -> DataFrame:
     """Smallest fitting type per column, from one pass over the observed range.
 
-    Text with fewer distinct values than half its rows is reported as
+    ``exact`` counts the values of each text column in a narrow pass of its own. Text with fewer distinct values than half its rows is reported as
     ``categorical``; it stays text, as Parquet encodes it by dictionary anyway.
     """
     numeric: list[tuple[str, bool]] = []
@@ -164,10 +175,14 @@ def narrow_report(
     measures = [F.count(F.lit(1)).alias("rows")]
     for i, (name, _) in enumerate(numeric):
         measures += [F.min(name).alias(f"lo{i}"), F.max(name).alias(f"hi{i}")]
-    count = F.countDistinct if exact else F.approx_count_distinct
     for i, name in enumerate(text):
-        measures.append((count(name) + F.max(F.col(name).isNull().cast("int"))).alias(f"d{i}"))
+        measures.append(F.max(F.col(name).isNull().cast("int")).alias(f"d{i}"))
+        if not exact:
+            measures.append(F.approx_count_distinct(name).alias(f"a{i}"))
     once = df.agg(*measures)
+    for i, name in enumerate(text):
+        values = _distinct(df, name).scalar() if exact else F.col(f"a{i}")
+        once = once.withColumn(f"d{i}", F.col(f"d{i}") + values)
     entries = []
     for i, (name, integer) in enumerate(numeric):
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")

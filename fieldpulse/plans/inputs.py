@@ -109,16 +109,17 @@ def item_samples(spark: SparkSession, folder: str) -> DataFrame:
         "l_shipdate",
         "l_orderkey",
         "l_linenumber",
-        (F.col("l_extendedprice") / 1000).alias("x"),
-        F.col("l_quantity").alias("y"),
+        # Off the grid of rounded results, so that no value lies between two of them.
+        (F.col("l_extendedprice") / 997).alias("x"),
+        (F.col("l_quantity") / 7).alias("y"),
         ((order * 37 + line * 11) % 360).cast("double").alias("dir"),
         ((order * 53 + line * 7) % 360).cast("double").alias("o"),
     )
 
 
 SQL_ITEM_SAMPLES = """samples AS (
-  SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice / 1000 AS x,
-    l_quantity AS y,
+  SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice / 997 AS x,
+    l_quantity / 7 AS y,
     CAST((l_orderkey * 37 + l_linenumber * 11) % 360 AS DOUBLE) AS dir,
     CAST((l_orderkey * 53 + l_linenumber * 7) % 360 AS DOUBLE) AS o
   FROM lineitem)"""

@@ -15,6 +15,7 @@ from fieldpulse.operators.rollup import path_rollup
 from fieldpulse.operators.series import MAX_ROWS, Series, settle
 from fieldpulse.sources import sinks
 from fieldpulse.sources.catalog import Catalog
+from fieldpulse.sources.incremental import loaded_rows
 
 # Limit used by the jobs that write; see ``Series``.
 PLAY_ROWS = MAX_ROWS
@@ -144,22 +145,38 @@ def run_lower_body(spark: SparkSession, catalog: Catalog, out: str) -> None:
     sinks.write_by_contract(summary, f"{out}/Summary_Injuries.parquet", contract)
 
 
-def run_concussions(spark: SparkSession, catalog: Catalog, out: str) -> None:
-    """Tracking of reviewed pairs and the summary of the concussion set."""
-    raw = catalog.load(spark, "ngs")
+def run_concussions(spark: SparkSession, catalog: Catalog, out: str) -> dict[str, int]:
+    """Tracking of reviewed pairs and the summary of the concussion set; rows of each.
+
+    The source files are read once, to Parquet by source file; a later run reads only files
+    that changed. Standardised samples and their mechanics are made once, and both results
+    come from those. They are written by their contracts.
+    """
+    catalog.land(spark, "ngs", f"{out}/league_samples")
+    raw = loaded_rows(spark, f"{out}/league_samples")
     positions, reviews = catalog.load(spark, "punt_data"), catalog.load(spark, "video_review")
-    tracked = concussion_tracking(raw, positions, reviews, PLAY_ROWS)
-    sinks.write_parquet(tracked, f"{out}/TrackingConcussions.parquet")
-    summary = concussion_summary(
-        raw,
-        catalog.load(spark, "role_data"),
-        positions,
-        catalog.load(spark, "play_information"),
-        catalog.load(spark, "game_data"),
-        reviews,
-        PLAY_ROWS,
+    sinks.write_plays(league_mechanics(raw, positions, PLAY_ROWS), f"{out}/concussion_output")
+    written = spark.read.parquet(f"{out}/concussion_output")
+    keyed = pairing.review_keys(reviews)
+    reviewed = pairing.samples_of(written, pairing.reviewed_plays(keyed))
+    tracked = pairing.pair_samples(reviewed, keyed, "tracking")
+    summary = summarize(
+        attributes.concussion_attributes(
+            catalog.load(spark, "role_data"),
+            positions,
+            catalog.load(spark, "play_information"),
+            catalog.load(spark, "game_data"),
+            reviews,
+        ),
+        path_rollup(written, concussion_series(PLAY_ROWS)),
+    )
+    pairs = sinks.write_by_contract(
+        tracked, f"{out}/TrackingConcussions.parquet", schemas.PAIRED_TRACKING_TABLE
+    )
+    whole = sinks.write_by_contract(
+        summary, f"{out}/Summary_Concussions.parquet", schemas.LEAGUE_SUMMARY_TABLE
     )
-    sinks.write_parquet(summary, f"{out}/Summary_Concussions.parquet")
+    return {"tracking": pairs["rows"], "summary": whole["rows"]}
 
 
 def run_all_tracking(spark: SparkSession, catalog: Catalog, out: str) -> None:
@@ -169,7 +186,8 @@ def run_all_tracking(spark: SparkSession, catalog: Catalog, out: str) -> None:
         spark.read.parquet(f"{out}/TrackingInjuries.parquet"),
         catalog.load(spark, "injuries"),
     )
-    sinks.write_parquet(
+    sinks.write_by_contract(
         combined.orderBy(F.asc_nulls_first("PlayKey"), F.asc_nulls_first("time")),
         f"{out}/All_Tracking.parquet",
+        schemas.ALL_TRACKING_TABLE,
     )

@@ -116,6 +116,20 @@ TRACKING_TABLE = _schema(
     "Primary_Impact_Type string, Primary_Partner_GSISID string, "
     "Primary_Partner_Activity_Derived string, OpponentKey string"
 )
+# Samples of reviewed pairs, with the part that each play had in a review.
+PAIRED_TRACKING_TABLE = _schema(
+    "PlayKey string, GSISID int, time double, x double, y double, dir double, o double, "
+    "Angle_Diff double, Displacement double, Speed double, vx double, vy double, "
+    "omega_dir double, omega_o double, omega_diff double, Position string, Height_m double, "
+    "Weight_kg double, Chest_rad_m double, px double, py double, moment double, "
+    "moment_upper double, p_magnitude double, L_dir double, L_diff double, Jx double, "
+    "Jy double, J_magnitude double, torque double, torque_internal double, "
+    "PlayerActivity string, ImpactType string, OpponentKey string, InjuryKey string"
+)
+_TEXT_COLUMNS = {"PlayKey", "Position", "InjuryType", "InjuryKey", "PlayerActivity", "ImpactType", "OpponentKey"}
+ALL_TRACKING_TABLE = _schema(
+    ", ".join(f"{c} {'string' if c in _TEXT_COLUMNS else 'double'}" for c in ALL_TRACKING_COLUMNS)
+)
 # Score_Difference can be negative, so the small integers are signed here.
 CONCUSSION_SUMMARY_TABLE = _schema(
     "PlayKey string, Position string, Role string, Play_Type string, Poss_Team string, "
@@ -126,6 +140,14 @@ CONCUSSION_SUMMARY_TABLE = _schema(
     "Home_Score smallint, Visiting_Score smallint, Score_Difference smallint, "
     "Position_right string, " + _ROLLUP_DDL
 )
+# The summary as the job makes it, without the columns that are not for analysis.
+LEAGUE_SUMMARY_TABLE = _schema(
+    "PlayKey string, Position string, Role string, Quarter smallint, Play_Type string, "
+    "Poss_Team string, Game_Site string, HomeTeamCode string, VisitTeamCode string, "
+    "StadiumType string, FieldType string, Weather string, Temperature double, "
+    "OpponentKey string, IsInjured smallint, Score_Difference smallint, "
+    "PlayerActivity string, ImpactType string, Position_right string, " + _ROLLUP_DDL
+)
 INJURY_SUMMARY_TABLE = _schema(
     "PlayKey string, Position string, StadiumType string, FieldType string, "
     "Temperature smallint, Weather string, PlayType string, BodyPart string, "

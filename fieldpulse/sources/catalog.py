@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from fieldpulse import schemas
+from fieldpulse.sources.incremental import load_changed
 from fieldpulse.sources.files import read_csv, read_parquet, read_prefix
 
 
@@ -56,3 +57,11 @@ class Catalog:
         if name not in self.datasets:
             raise ValueError(f"unknown dataset {name!r}, expected one of {sorted(self.datasets)}")
         return self.datasets[name].load(spark, self.root)
+
+    def land(self, spark: SparkSession, name: str, out: str) -> list[str]:
+        """Load the changed files of a dataset made of many into Parquet; their names."""
+        found = self.datasets[name]
+        if not found.prefix or found.schema is None:
+            raise ValueError(f"{name!r} is not a dataset of many files")
+        location = f"{self.root.rstrip('/')}/{found.path}".rstrip("/")
+        return load_changed(spark, location, found.prefix, found.schema, out)

@@ -31,6 +31,29 @@ def write_plays(df: DataFrame, path: str, key: str = "PlayKey", files: int | Non
     placed.sortWithinPartitions(key, "time").write.mode("overwrite").parquet(path)
 
 
+def write_balanced(
+    df: DataFrame, path: str, *keys: str, target: str = "64MB", folders: bool = False
+) -> None:
+    """Parquet files of about one size, rows of equal keys together.
+
+    ``target`` is a file's share of the shuffle. Adaptive execution splits a key that has
+    more and joins keys that have less. ``folders`` gives each combination of keys a folder:
+    a frequent one then has many files, a rare one a single small file. The
+    caller's settings are put back after the write.
+    """
+    session = df.sparkSession
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [session.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("true", target)):
+            session.conf.set(n, v)
+        writer = df.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite")
+        (writer.partitionBy(*keys) if folders else writer).parquet(path)
+    finally:
+        for n, v in zip(names, before):
+            session.conf.set(n, v)
+
+
 def write_with_quarantine(parsed: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Write parsed lines in one pass, damaged ones to a side table; (sound rows, damaged ones).
 

@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 from fieldpulse import schemas
 from fieldpulse.functions import vocabulary
 from fieldpulse.plans import jobs
-from fieldpulse.sources import files, sinks
+from fieldpulse.sources import files, incremental, sinks
 from fieldpulse.sources.catalog import DATASETS, Catalog
 from fieldpulse.sources.database import QUERIES, Database
 from fieldpulse.sources.literals import literal_table
@@ -245,3 +245,100 @@ def test_summary_join_kinds(spark, source):
     rollups = rolled.select("PlayKey", F.col("Position_right").alias("Position"), "Distance").distinct()
     assert jobs.summarize(described, rollups).count() == 3
     assert jobs.summarize(described, rollups, "left").count() == 4
+
+
+# Loads that touch only what changed.
+
+
+def _files_under(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_only_changed_files_are_loaded(spark, tmp_path):
+    schema = StructType.fromDDL("id int, name string")
+    src, out = tmp_path / "src", tmp_path / "out"
+    src.mkdir()
+    for i in range(3):
+        (src / f"NGS-{i}.csv").write_text(f"id,name\n{i},a\n{i + 10},b\n")
+    (src / "other.csv").write_text("id,name\n99,z\n")
+
+    def load():
+        return incremental.load_changed(spark, str(src), "NGS-", schema, str(out))
+
+    def ids():
+        return sorted(r.id for r in incremental.loaded_rows(spark, str(out)).collect())
+
+    assert load() == ["NGS-0.csv", "NGS-1.csv", "NGS-2.csv"]
+    before = _files_under(out / "rows")
+    assert ids() == [0, 1, 2, 10, 11, 12] and load() == [] and _files_under(out / "rows") == before
+    (src / "NGS-1.csv").write_text("id,name\n1,a\n21,b\n31,c\n")
+    (src / "NGS-3 é.csv").write_text("id,name\n3,a\n")
+    assert load() == ["NGS-1.csv", "NGS-3 é.csv"] and ids() == [0, 1, 2, 3, 10, 12, 21, 31]
+    after = _files_under(out / "rows")
+    kept = {f for f in before if "NGS-1" not in f}
+    assert {f: after[f] for f in kept} == {f: before[f] for f in kept}
+    # A file that is gone, and one that is empty by now.
+    (src / "NGS-0.csv").unlink()
+    (src / "NGS-2.csv").write_text("id,name\n")
+    assert load() == ["NGS-0.csv", "NGS-2.csv"] and ids() == [1, 3, 21, 31] and load() == []
+
+
+def test_only_touched_parts_are_updated(spark, tmp_path):
+    path = tmp_path / "store"
+    table = spark.range(200).selectExpr("cast(id as string) as PlayKey", "cast(null as double) as Time", "id as x")
+    incremental.create_store(table, str(path), "PlayKey", 8)
+    before = _files_under(path / "rows")
+    log = spark.createDataFrame([("7", 1, 2.5), ("7", 2, 3.5), ("unknown", 1, 1.0)], "PlayKey string, seq int, Time double")
+    touched = incremental.update_store(spark, str(path), log, "PlayKey", 8)
+    assert 1 <= len(touched) <= 2
+    after = _files_under(path / "rows")
+    kept = {f for f in before if not any(f.startswith(f"part={p}/") for p in touched)}
+    assert kept and {f: after[f] for f in kept} == {f: before[f] for f in kept}
+
+    def times():
+        rows = incremental.stored_rows(spark, str(path))
+        assert rows.count() == 200
+        return {r.PlayKey: r.Time for r in rows.filter("Time is not null").collect()}
+
+    assert times() == {"7": 3.5}
+    incremental.update_store(spark, str(path), log, "PlayKey", 8)
+    assert times() == {"7": 3.5}
+    # A run that was broken off before its parts were moved in is finished by the next.
+    part = spark.read.parquet(str(path / "rows")).filter(F.col("part") == touched[0])
+    part.withColumn("Time", F.lit(9.0)).write.mode("overwrite").parquet(str(path / "pending"))
+    n = part.count()
+    incremental.update_store(spark, str(path), log.limit(0), "PlayKey", 8)
+    assert len([t for t in times().values() if t == 9.0]) == n
+    assert spark.read.parquet(str(path / "pending")).isEmpty()
+
+
+def test_files_are_balanced(spark, tmp_path):
+    rows = spark.range(0, 400_000, 1, 16).selectExpr(
+        "case when id % 10 < 8 then 'hot' else concat('k', id % 5) end as Position_Play", "rand(1) as v", "uuid() as text"
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sinks.write_balanced(rows, str(tmp_path / "one"), "Position_Play", target="2MB", folders=True)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    folders = {}
+    for f in (tmp_path / "one").rglob("*.parquet"):
+        folders.setdefault(f.parent.name, []).append(f.stat().st_size)
+    hot = folders.pop("Position_Play=hot")
+    assert len(hot) >= 4 and max(hot) <= 2 * min(hot)
+    assert all(len(sizes) <= 2 for sizes in folders.values())
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 400_000
+
+
+def test_league_files_are_read_once(spark, source, tmp_path, monkeypatch):
+    """The source files are read where they are landed, and a second run reads none."""
+    read = []
+    whole = incremental.read_csv
+    monkeypatch.setattr(incremental, "read_csv", lambda s, paths, *a: read.append(len(paths)) or whole(s, paths, *a))
+    out, catalog = str(tmp_path), Catalog(source)
+    first = jobs.run_concussions(spark, catalog, out)
+    assert first == {"tracking": 45, "summary": 6} and read == [2]
+    assert jobs.run_concussions(spark, catalog, out) == first and read == [2]
+    raw, positions, reviews = (catalog.load(spark, n) for n in ("ngs", "punt_data", "video_review"))
+    names = schemas.PAIRED_TRACKING_TABLE.names
+    direct = jobs.concussion_tracking(raw, positions, reviews).select(*names)
+    written = spark.read.parquet(f"{out}/TrackingConcussions.parquet").select(*names)
+    assert sorted(map(str, direct.collect())) == sorted(map(str, written.collect()))
