@@ -63,3 +63,12 @@ def test_precision_and_rescaling(spark):
     df = spark.createDataFrame([(1, 2.5, "x")], "n bigint, v double, k string")
     assert dict(P.halve_precision(df).dtypes) == {"n": "int", "v": "float", "k": "string"}
     assert P.rescale(df, 6.0, "v").first()["v"] == 15.0
+
+
+def test_distinct_counts_do_not_widen_rows(spark):
+    df = spark.createDataFrame([("a", "x", 1), (None, "y", 1), ("a", None, 2)], "p string, q string, n int")
+    counts, report = P.distinct_counts(df, "p", "q", "n"), P.narrow_report(df, exact=True)
+    assert tuple(counts.first()) == (1, 2, 2)
+    for found in (counts, report):
+        assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(P.distinct_counts(df.limit(0), "p", "n").first()) == (0, 0)
