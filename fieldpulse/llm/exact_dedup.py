@@ -4,17 +4,21 @@ The first pass counts rows per filter position, up to "more than once", and pack
 positions hit more than once into bitmaps. The second pass tests every row: a row with
 a position that was hit once cannot have a copy and passes straight through. Only the
 rest, real copies and a few false alarms, are shuffled and grouped by their full key.
+
+A table of more rows than one filter can serve is placed by slices of the key space, once,
+and each slice is then read and done by itself, so the work grows with the table.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.common import Sealed, attach_groups, settle
+from fieldpulse.llm.common import Sealed, attach_groups, scratch_folder, settle
 
 # Positions per row and hash functions: about one false alarm in 70 rows.
 BITS_PER_ROW = 16
@@ -22,6 +26,8 @@ HASHES = 2
 # A filter is at most so large (32 MB). Larger tables are handled in slices of the key
 # space, each with a filter of its own.
 MAX_BITS = 1 << 28
+# Slices that are worked on side by side.
+SLICES_AT_ONCE = 4
 # Bits in one bitmap of Spark's bitmap functions.
 _BITMAP_BITS = 32768
 
@@ -60,6 +66,41 @@ def maybe_repeated(rows: DataFrame, key: str, blocks: DataFrame, bits: int) -> D
     return found.select(*names, reduce(and_, flags).alias("_maybe"))
 
 
+def _dedup(keyed: DataFrame, bits: int, n_rows: int) -> DataFrame:
+    """Add ``_keep`` and ``_size``, both null for a false alarm, to rows with ``_key`` and ``_number``."""
+    blocks = settle(repeated_filter(keyed, "_key", bits))
+    tested = maybe_repeated(keyed, "_key", blocks, bits)
+    again = tested.filter("_maybe").drop("_maybe")
+    groups = settle(
+        again.groupBy("_key")
+        .agg(F.max("_number").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+        .filter("_size > 1")
+    )
+    once = tested.filter(~F.col("_maybe")).drop("_maybe").withColumns(
+        {"_keep": F.col("_number"), "_size": F.lit(1).cast("long")}
+    )
+    return once.unionByName(attach_groups(again, groups, "_key", "_size", n_rows))
+
+
+def _by_slices(keyed: DataFrame, slices: int, bits: int, n_rows: int) -> DataFrame:
+    """What ``_dedup`` gives, slice by slice, read back from one folder."""
+    part = F.pmod(F.xxhash64(F.lit("slice"), "_key"), F.lit(slices)).cast("int")
+    # Rebalanced, so that a slice with a very frequent key is written by many tasks.
+    placed = settle(
+        keyed.withColumn("_slice", part).hint("rebalance", F.col("_slice")), "_slice"
+    )
+    folder = scratch_folder(keyed.sparkSession)
+
+    def write(s: int) -> None:
+        here = placed.filter(F.col("_slice") == s).drop("_slice")
+        _dedup(here, bits, n_rows).write.parquet(f"{folder}/{s}")
+
+    with ThreadPoolExecutor(SLICES_AT_ONCE) as pool:
+        list(pool.map(write, range(slices)))
+    kind = keyed.select("*", F.col("_number").alias("_keep"), F.lit(1).cast("long").alias("_size")).schema
+    return keyed.sparkSession.read.schema(kind).parquet(f"{folder}/*")
+
+
 def exact_dedup(
     rows: DataFrame,
     key: str,
@@ -81,29 +122,14 @@ def exact_dedup(
     slices = max(1, -(-bits_per_row * n_rows // max_bits))
     bits = max(_BITMAP_BITS, min(max_bits, bits_per_row * n_rows))
     sealed = Sealed.of(rows)
-    number = F.col(sealed.name(id_col))
     value = F.coalesce(F.col(sealed.name(key)).cast("binary"), F.lit(b"null"))
-    keyed = sealed.frame.withColumn("_key", value)
-    one = F.lit(1).cast("long")
-    parts = []
-    for s in range(slices):
-        here = keyed
-        if slices > 1:
-            part = F.pmod(F.xxhash64(F.lit("slice"), "_key"), F.lit(slices))
-            here = keyed.filter(part == s)
-        blocks = settle(repeated_filter(here, "_key", bits))
-        tested = maybe_repeated(here, "_key", blocks, bits)
-        again = tested.filter("_maybe").drop("_maybe")
-        groups = settle(
-            again.groupBy("_key")
-            .agg(F.max(number).alias("_keep"), F.count(F.lit(1)).alias("_size"))
-            .filter("_size > 1")
-        )
-        once = tested.filter(~F.col("_maybe")).drop("_maybe")
-        parts.append(once.withColumns({"_keep": number, "_size": one}))
-        parts.append(attach_groups(again, groups, "_key", "_size", n_rows))
-    result = reduce(DataFrame.unionByName, parts)
-    size = F.coalesce("_size", one)
+    keyed = sealed.frame.withColumns({"_key": value, "_number": F.col(sealed.name(id_col))})
+    if slices > 1:
+        result = _by_slices(keyed, slices, bits, n_rows)
+    else:
+        result = _dedup(keyed, bits, n_rows)
+    number = F.col("_number")
+    size = F.coalesce("_size", F.lit(1).cast("long"))
     keep = F.when(size == 1, number).otherwise(F.col("_keep"))
     added = {"keep_id": keep, "group_size": size, "kept": number.eqNullSafe(keep)}
     return sealed.open(result, added)
