@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from fieldpulse.llm.common import Sealed, ascii_lower, scratch_folder, settle
 
@@ -80,6 +81,12 @@ class LineRuns:
         """(_h1, _h2, _id): each line seen, with the smallest id that holds it."""
         return self._union(self._runs())
 
+    def close(self) -> None:
+        """Take the runs out of the catalog."""
+        for name in self._runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels = []
+
     def _runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
@@ -126,16 +133,24 @@ def dedup_lines(
     unchanged and own nothing. An empty table gives an empty table. Ids must be numbers.
     """
     sealed = Sealed.of(docs)
+    if not isinstance(sealed.frame.schema[sealed.name(id_col)].dataType, NumericType):
+        raise ValueError(f"ids must be numbers, and {id_col!r} is not")
     number, text = F.col(sealed.name(id_col)), F.col(sealed.name(text_col))
     spread = _batched(
         long_lines(sealed.frame, number, text, least_chars), sealed.frame, number, batches
     )
     runs = LineRuns(docs.sparkSession, runs_per_level)
-    for batch in range(batches):
-        runs.add(spread.filter(F.col("_batch") == batch))
-    # The id is part of the key, so that a line in very many documents stays spread.
-    dropped = spread.join(runs.owners(), ["_id", *_HASH], "left_anti")
-    drops = dropped.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_drops"))
+    try:
+        for batch in range(batches):
+            runs.add(spread.filter(F.col("_batch") == batch))
+        # The id is part of the key, so that a line in very many documents stays spread.
+        dropped = spread.join(runs.owners(), ["_id", *_HASH], "left_anti")
+        # Written, so that the runs are needed no longer.
+        drops = settle(
+            dropped.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_drops"))
+        )
+    finally:
+        runs.close()
     keyed = sealed.frame.withColumns({"_id": number, "_row": F.xxhash64(text)})
     both = keyed.join(drops, ["_id", "_row"], "left").withColumn("_lines", lines_of(text))
     ends = F.concat(F.array(F.lit(-1)), F.col("_drops"), F.array(F.size("_lines")))

@@ -50,6 +50,16 @@ def test_exact_dedup(spark, max_bits):
         assert (r.keep_id, r.group_size, r.kept) == (last[r.t], sizes[r.t], r.id == last[r.t])
 
 
+def test_exact_dedup_scans_do_not_grow_with_slices(spark):
+    df = spark.createDataFrame([(i, f"t{i % 2000}") for i in range(4000)], "id long, t string")
+    scans = set()
+    for bits_per_row in (16, 80):
+        done = exact_dedup.exact_dedup(df, "t", "id", bits_per_row, max_bits=1 << 15)
+        scans.add(done._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        assert done.filter("group_size = 2").count() == 4000 and done.filter("kept").count() == 2000
+    assert scans == {1}
+
+
 def test_exact_dedup_odd_rows(spark):
     rows = [(None, "a"), (None, "a"), (1, "b"), (None, "b"), (2, "c"), (2, "c"), (1, "c")]
     df = spark.createDataFrame(rows, "id long, t string")
@@ -71,6 +81,16 @@ def test_filter_misses_no_copy_and_passes_most_others(spark):
     assert tested.join(copies, "k", "left_anti").filter("_maybe").count() < 0.03 * 18_700
 
 
+def test_line_dedup_leaves_no_tables_and_asks_for_numbers(spark):
+    df = spark.createDataFrame([(1, "a line of text"), (2, "a line of text")], "id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    done = line_dedup.dedup_lines(df, "id")
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert [(r.id, r.n_dropped) for r in done.orderBy("id").collect()] == [(1, 0), (2, 1)]
+    with pytest.raises(ValueError, match="numbers"):
+        line_dedup.dedup_lines(df, "text")
+
+
 def _lines_kept(rows, least=10):
     owner = {}
     for d, t in rows:
