@@ -24,8 +24,8 @@ from fieldpulse.functions.columns import seconds_between
 BROADCAST_KEYS = 10_000
 # Chunks cut per expected one, so that chunks around sampled splitters still fit.
 OVERCUT = 2
-# Chunks that a level makes of a group at most, and rows sampled for each.
-MOST_PARTS = 64
+# Chunks that a level makes of a group at most, a power of two, and rows sampled for each.
+MOST_PARTS = 4096
 SAMPLES = 32
 
 _CHUNK, _PARTS, _LONG, _GROUP, _POS, _TIE = "_chunk", "_parts", "_long", "_group", "_pos", "_tie"
@@ -134,10 +134,11 @@ def _splitters(df: DataFrame, series: Series, keys: Sequence[str], long: DataFra
     )
     at = F.transform(
         F.sequence(F.lit(1), F.col(_PARTS)),
-        lambda i: F.get("_sample", F.floor((i - 1) * F.size("_sample") / F.col(_PARTS)).cast("int")),
+        lambda i: F.floor((i - 1) * F.size("_sample") / F.col(_PARTS)).cast("int"),
     )
     # The first one only names the start of the group.
-    return sampled.select(*keys, F.array_distinct(F.slice(at, 2, MOST_PARTS)).alias("_cuts"))
+    places = sampled.select(*keys, "_sample", F.slice(F.array_distinct(at), 2, MOST_PARTS).alias("_at"))
+    return places.select(*keys, F.transform("_at", lambda i: F.get("_sample", i)).alias("_cuts"))
 
 
 def plan_cuts(df: DataFrame, series: Series) -> tuple[DataFrame, ...]:
@@ -198,9 +199,15 @@ def _divide(df: DataFrame, cut: DataFrame, series: Series, keys: list[str]) -> D
     names = {k: f"_cut_{k}" for k in keys}
     joined = df.join(cut.withColumnsRenamed(names), _matching(names), "left")
     long = F.col("_cuts").isNotNull()
-    place = _place(series)
-    reached = F.size(F.filter("_cuts", lambda splitter: splitter <= place))
-    chunk = F.array(F.when(long, reached).otherwise(F.lit(0)))
+    # By halving, each step in a column of its own: a row looks at a few splitters, in compiled
+    # code, and the list is not copied to it. Beyond its end there is null, which is not reached.
+    joined = joined.withColumns({"_place": _place(series), "_reached": F.lit(0)})
+    step = MOST_PARTS
+    while step:
+        passed = F.get("_cuts", F.col("_reached") + (step - 1)) <= F.col("_place")
+        joined = joined.withColumn("_reached", F.col("_reached") + F.when(passed, step).otherwise(0))
+        step //= 2
+    chunk = F.array("_reached")
     if _CHUNK in df.columns:
         chunk = F.concat(F.col(_CHUNK), chunk)
         long = F.col(_LONG) | long

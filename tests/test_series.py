@@ -70,6 +70,15 @@ def test_crowded_rows_are_cut_again(spark):
     assert cut.groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 10
 
 
+def test_a_level_makes_many_chunks(spark):
+    """Each further level reads the table again, so one makes as many chunks as are needed."""
+    rows = [("hot", float(u * 37 % 400), u, float(u)) for u in range(400)]
+    df, series = spark.createDataFrame(rows, SCHEMA), Series("k", ("t", "u"), 4)
+    assert len(S.plan_cuts(df, series)) == 1
+    assert S._cut(df, series).groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 4
+    assert computed(spark, rows, 2, 4) == expected(rows, 2)
+
+
 def test_many_long_keys_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_KEYS", 1)
     rows = hot(200)
