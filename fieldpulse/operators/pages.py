@@ -30,14 +30,13 @@ def open_tag(html: Column | str, tag: str, css_class: str | None = None) -> Colu
     """The first opening tag with its attributes, or null."""
     wanted = rf"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?[\"'])" if css_class else ""
     found = F.regexp_extract(as_column(html), rf"(?is)<{tag}\b{wanted}[^>]*>", 0)
-    return F.when(found != "", found)
+    return F.nullif(found, F.lit(""))
 
 
 def attribute(tag_text: Column | str, name: str) -> Column:
     """Value of an attribute of an opening tag, or null when it has none."""
-    c = as_column(tag_text)
     pattern = rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']"
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1))
+    return F.get(F.regexp_extract_all(as_column(tag_text), F.lit(pattern), F.lit(1)), F.lit(0))
 
 
 def resolved(text: Column | str) -> Column:
@@ -47,23 +46,30 @@ def resolved(text: Column | str) -> Column:
     """
     names = F.create_map(*[F.lit(x) for pair in vocabulary.REFERENCES.items() for x in pair])
 
-    def one(piece: Column) -> Column:
-        name = F.regexp_extract(piece, "^&([^;]+);", 1)
-        decimal = F.conv(F.regexp_extract(name, "^#([0-9]{1,7})$", 1), 10, 16)
+    def code(name: Column) -> Column:
         number = F.coalesce(
-            F.when(name.rlike("^#[0-9]{1,7}$"), decimal),
-            F.when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.substring(name, 3, 6)),
+            F.when(name.rlike("^#[0-9]{1,7}$"), F.conv(F.substring(name, 2, 7), 10, 16)),
+            F.when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.translate(F.substring(name, 3, 6), "abcdef", "ABCDEF")),
         )
-        code = F.lpad(number, 8, "0")
-        valid = ~F.upper(code).between("0000D800", "0000DFFF") & (F.upper(code) <= "0010FFFF")
+        return F.when(name.startswith("#"), F.lpad(number, 8, "0"))
+
+    def one(p: Column) -> Column:
+        valid = ~p["code"].between("0000D800", "0000DFFF") & (p["code"] <= "0010FFFF")
         character = F.coalesce(
-            F.try_element_at(names, name), F.when(valid, F.decode(F.unhex(code), "UTF-32"))
+            F.try_element_at(names, p["name"]), F.when(valid, F.decode(F.unhex(p["code"]), "UTF-32"))
         )
-        rest = F.substring(piece, F.length(name) + 3, F.length(piece))
-        return F.when((name != "") & character.isNotNull(), F.concat(character, rest)).otherwise(piece)
+        rest = F.substring(p["piece"], F.length(p["name"]) + 3, F.length(p["piece"]))
+        return F.coalesce(F.concat(character, rest), p["piece"])
 
     pieces = F.split(as_column(text), "(?=&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);)", -1)
-    return F.array_join(F.transform(pieces, one), "")
+    # In steps, since what a step makes of a piece is read several times by the next.
+    named = F.transform(
+        pieces, lambda p: F.struct(p.alias("piece"), F.regexp_extract(p, "^&([^;]+);", 1).alias("name"))
+    )
+    coded = F.transform(named, lambda p: F.struct(
+        p["piece"].alias("piece"), p["name"].alias("name"), code(p["name"]).alias("code")
+    ))
+    return F.array_join(F.transform(coded, one), "")
 
 
 def plain_text(html: Column | str) -> Column:
@@ -86,15 +92,13 @@ def element_rows(pages: DataFrame, tag: str, html: str = "html") -> DataFrame:
     kept = [c for c in pages.columns if c != html]
     page = ["_key", "_hash"]
     here = rf"</?{tag}(?=[\s/>])"
-    pieces = F.split(F.regexp_replace(F.col(html), _OPAQUE, ""), rf"(?i)(?={here})", -1)
-    each = pages.select(
-        F.struct(*kept).alias("_key"), F.xxhash64(html).alias("_hash"),
-        F.posexplode(pieces).alias("_at", "_piece"),
-    )
-    # Placed once by page; what follows groups and sorts inside that placement.
-    single = each.repartition(*page).groupBy(*page, "_at").agg(
-        F.first("_piece").alias("_piece"), F.count(F.lit(1)).alias("_copies")
+    pieces = F.split(F.regexp_replace("_html", _OPAQUE, ""), rf"(?i)(?={here})", -1)
+    # Placed once by page, and cut there; what follows groups and sorts inside that placement.
+    whole_pages = pages.select(
+        F.struct(*kept).alias("_key"), F.xxhash64(html).alias("_hash"), F.col(html).alias("_html")
     )
+    once = whole_pages.repartition(*page).groupBy(*page, "_html").agg(F.count(F.lit(1)).alias("_copies"))
+    single = once.select(*page, "_copies", F.posexplode(pieces).alias("_at", "_piece"))
     closes = F.col("_piece").rlike(rf"(?i)^</{tag}(?=[\s/>])")
     opens = F.col("_piece").rlike(rf"(?i)^<{tag}(?=[\s/>])")
     in_order = Window.partitionBy(*page).orderBy("_at")

@@ -94,3 +94,16 @@ def test_references_are_resolved_once(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(P.resolved("t")).collect()]
     assert got == ["&lt;", "\x00&#xD800;&#x110000;", " é…", "a & b; &;", None, "&&"]
+
+
+def test_a_page_is_cut_after_it_is_placed_and_a_reference_read_once(spark):
+    df = spark.createDataFrame([(1, "<ul><li>a &amp; b</li></ul>")] * 2, "page_id int, html string")
+    rows = P.element_rows(df, "li")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # Cut before, its pieces are moved and sorted to be merged; whole pages are only hashed.
+    assert "SortAggregate" not in plan
+    assert len(rows.collect()) == 2
+    read = df.select(P.resolved("html"))._jdf.queryExecution().optimizedPlan().toString()
+    assert read.count("regexp_extract(") <= 2
+    tags = spark.createDataFrame([("<a href=''>",), ("<a>",), ("<a href='x' href='y'>",)], "t string")
+    assert [r[0] for r in tags.select(P.attribute("t", "href")).collect()] == ["", None, "x"]
