@@ -185,3 +185,12 @@ def test_presentation_names(spark):
     assert cleaning.presentation_names(df, "lower_body").columns == ["PlayKey", "turf"]
     with pytest.raises(ValueError):
         cleaning.presentation_names(df, "other")
+
+
+def test_a_score_is_matched_once_a_side(spark):
+    from fieldpulse.functions.columns import extract_group
+
+    df = spark.createDataFrame([("7 - 10",), ("none",), (None,), ("",)], "s string")
+    sides = df.select(*[extract_group("s", cleaning.SCORE_PATTERN, i).alias(str(i)) for i in (1, 2)])
+    assert sides._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
+    assert [tuple(r) for r in sides.collect()] == [("7", "10")] + [(None, None)] * 3
