@@ -196,8 +196,12 @@ def cross_validated_auc(
     seed: int = 94,
 ) -> DataFrame:
     """AUC on each stratified fold, with the mean and two standard deviations."""
-    folded = stratified_folds(df, label, key, folds, seed).withColumn("_part", F.lit(0.0))
-    found = _scores(folded, label, numeric, [0.0], folds, trees, seed)
+    kept = _kept(df, label, key, numeric)
+    try:
+        folded = stratified_folds(kept, label, key, folds, seed).withColumn("_part", F.lit(0.0))
+        found = _scores(folded, label, numeric, [0.0], folds, trees, seed)
+    finally:
+        kept.unpersist()
     scores = [(i, test) for i, (_, _, test) in enumerate(found)]
     table = literal_table(df.sparkSession, scores, _pair("fold", "int", "auc", "double"))
     summary = table.agg(F.mean("auc").alias("mean_auc"), (2 * F.stddev_pop("auc")).alias("two_sigma"))
@@ -205,6 +209,11 @@ def cross_validated_auc(
     return table.withColumns({"mean_auc": mean, "two_sigma": spread})
 
 
+def _kept(df: DataFrame, label: str, key: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+    """The columns that models need, kept, since ranks, fits and counts each read them again."""
+    return df.select(*dict.fromkeys([label, *key, *numeric])).persist()
+
+
 def _scores(
     folded: DataFrame, label: str, numeric: Sequence[str], shares: Sequence[float], folds: int, trees: int, seed: int
 ) -> list[tuple[int, float, float]]:
@@ -276,13 +285,17 @@ def learning_curve(
     both classes in proportion and contains the smaller ones. ``rows`` is what the first
     fold's model is trained on.
     """
-    folded = ranked_share(df, label, key, seed).withColumns(
-        {
-            "fold": (F.col("_rank") % folds).cast("int"),
-            "_part": (F.col("_rank") + 1) / F.col("_size"),
-        }
-    )
-    found = _scores(folded, label, numeric, shares, folds, trees, seed)
+    kept = _kept(df, label, key, numeric)
+    try:
+        folded = ranked_share(kept, label, key, seed).withColumns(
+            {
+                "fold": (F.col("_rank") % folds).cast("int"),
+                "_part": (F.col("_rank") + 1) / F.col("_size"),
+            }
+        )
+        found = _scores(folded, label, numeric, shares, folds, trees, seed)
+    finally:
+        kept.unpersist()
     rows = []
     for n, share in enumerate(shares):
         own = found[n * folds : (n + 1) * folds]

@@ -117,6 +117,19 @@ def test_cross_validation_and_learning_curve(spark):
     assert [r["share"] for r in curve] == [0.5, 1.0] and curve[0]["rows"] < curve[1]["rows"]
 
 
+def test_features_of_a_row_are_computed_once_for_all_models(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def feature(value):
+        computed.add(1)
+        return value
+
+    df = imbalanced(spark, 100).withColumn("a", feature("a"))
+    M.learning_curve(df, "y", ["id"], ["a", "b"], shares=(1.0,), folds=2, trees=1).collect()
+    assert computed.value == 100
+
+
 def test_classification_report(spark):
     rows = [(1, 1.0)] * 3 + [(1, 0.0)] + [(0, 1.0)] * 2 + [(0, 0.0)] * 4
     report = M.classification_report(spark.createDataFrame(rows, "y int, prediction double"), "y")
