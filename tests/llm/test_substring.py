@@ -184,6 +184,61 @@ def test_exact_runs_of_blocks_that_earlier_documents_have(spark):
             assert covered or any(e == d and j < i for e, j in own), (d, i)
 
 
+def test_similar_passages_of_blocks_that_earlier_documents_have(spark):
+    rng = random.Random(7)
+    texts, planted = [], []
+    for n_early in (4, 30, 30, 4, 30, 8):
+        halves = [_words(rng, rng.randrange(32, 44)) for _ in range(2)]
+        # Either half stands in early documents of both parts, too short for a passage.
+        texts += [_words(rng, 25) + half + _words(rng, 25) for half in halves for _ in range(n_early)]
+        for cut in (0, 1):
+            own = halves[0] + halves[1]
+            for at in range(10 + 16 * cut, len(own) - 5, 32):
+                own[at] = f"e{rng.randrange(10**6)}"
+            planted.append(len(texts))
+            texts.append(_words(rng, 40) + own + _words(rng, 40))
+
+    def passages(numbers):
+        rows = [(d, " ".join(texts[d])) for d in numbers]
+        return sub.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+
+    # What two documents share by themselves they share among others, too.
+    alone, found = passages(planted), passages(range(len(texts)))
+    assert {(r.doc_id, r.ref_id) for r in alone} == set(zip(planted[1::2], planted[::2]))
+    for r in alone:
+        assert any(
+            (x.doc_id, x.ref_id) == (r.doc_id, r.ref_id) and x.start <= r.start and r.end <= x.end for x in found
+        ), r
+    for r in found:
+        own, ref = texts[r.doc_id][r.start : r.end], texts[r.ref_id][r.ref_start : r.ref_end]
+        assert r.matched <= sub._common(own, ref) and r.identity >= sub.LEAST_IDENTITY
+        assert min(len(own), len(ref)) >= sub.LEAST_WORDS
+
+
+def test_a_pair_and_two_words_beside_it():
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    pair = np.array([7], np.uint64)
+
+    def keys(changed, gap):
+        own = shared.copy()
+        own[changed] = rng.integers(0, 1 << 62, len(changed)).astype(np.uint64)
+        at = np.array([20])
+        found, rows = sub.beside(own, pair, at, at + gap, sub.LEAST_WORDS)
+        assert set(rows.tolist()) <= {0} and len(found) == len(rows)
+        return set(found.tolist())
+
+    # Beyond the seeds at 20 and 30 nothing is shared; then two words are, on either side.
+    inside = list(range(20, 35))
+    others = [i for i in range(60) if i not in inside]
+    assert not keys(others, 10) & keys(others, 10)
+    for two in ([18, 19], [0, 1], [35, 36], [53, 54]):
+        kept = [i for i in others if i not in two]
+        assert keys(kept, 10) & keys(kept, 10)
+    # Seeds that leave no more than two words beside them suffice.
+    assert keys(others, 43) & keys(others, 43)
+
+
 def test_equal_windows_have_equal_signatures():
     rng = np.random.default_rng(5)
     least = sub.LEAST_WORDS
