@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.common import SHINGLE_WORDS, Sealed, settle, words_of
+from fieldpulse.llm.common import SHINGLE_WORDS, Sealed, count_words, settle, words_of
 
 WINDOW_WORDS = 13
 # Shingles of a benchmark that are broadcast at once, about 60 MB. Larger benchmarks are
@@ -65,12 +65,14 @@ def window_shingles(windows: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, wanted: DataFrame, length: int, window_words: int) -> DataFrame:
-    """Where documents have a wanted shingle, with the words a window around it can reach."""
-    at = F.col("_at")
-    each = docs.filter(F.size("_words") >= length).select(
-        "_id", "_row", "_words", F.posexplode("_words").alias("_at", "_first")
-    )
-    hashed = each.filter(at <= F.size("_words") - length).select(
+    """Where documents have a wanted shingle, with the words a window around it can reach.
+
+    No filter looks at the words, nor can Spark infer one from places made by an expression: it
+    would go below their projection and find the words of a text once more.
+    """
+    at, last = F.col("_at"), F.size("_words") - length
+    places = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("_at")
+    hashed = docs.select("_id", "_row", "_words", places).select(
         "_id", "_row", "_words", "_at", _shingle(F.col("_words"), at, length).alias("_shingle")
     )
     back = F.least(at, F.lit(window_words - length))
@@ -181,7 +183,7 @@ def find_contamination(
         .groupBy("_id", "_row")
         .agg(F.sort_array(F.collect_set(F.col("_item").cast("string"))).alias("_items"))
     )
-    result = keyed.withColumn("_n_words", F.size(words_of(text)).cast("long"))
+    result = keyed.withColumn("_n_words", count_words(text))
     result = result.join(hit, ["_id", "_row"], "left").join(listed_items, ["_id", "_row"], "left")
     n_hit = F.coalesce("_hit", F.lit(0).cast("long"))
     added = {

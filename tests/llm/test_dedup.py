@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldpulse.llm import decontaminate, exact_dedup, line_dedup, queries
+from fieldpulse.llm.common import count_words, words_of
 from tests.llm import brute
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
@@ -34,6 +35,24 @@ def test_native_queries_run_no_python(spark, folder, name):
     assert not re.search("EvalPython|InPandas|InArrow|Cartesian|NestedLoop", plan)
 
 
+def test_words_of_a_document_are_found_once_a_scan(spark):
+    docs = spark.createDataFrame([(1, "A b c d e f")], "_id long, text string").select(
+        F.struct("_id").alias("_id"), F.lit(0).alias("_row"), words_of(F.col("text")).alias("_words")
+    )
+    wanted = spark.createDataFrame([(1,)], "_shingle long")
+    found = decontaminate._occurrences(docs, wanted, 5, 13)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_words_in_sql_and_their_number_are_those_of_the_pattern(spark):
+    texts = [None, "", "\x00 A\x7f\x80b", "É\u00a0Z9", "a\ud7ff\ue000b \uffff-\U00010000\U0010ffff", "\u2028x"]
+    texts += [f"Q{chr(i)}q{chr(i)}" for i in range(1, 0x180)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", words_of(F.col("t")).alias("w"), count_words(F.col("t")).alias("n")).collect():
+        assert r.w == brute.words(r.t) and r.n == len(r.w)
+
+
 def _texts(n, seed):
     rng = random.Random(seed)
     return [rng.choice([None, "", "A", "a", "É", "é", "b", f"t{rng.randrange(40)}", "hot", "hot"]) for _ in range(n)]
