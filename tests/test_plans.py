@@ -1,10 +1,12 @@
 import re
 
+from pyspark.sql import functions as F
+
 from fieldpulse import schemas
 from fieldpulse.operators import attributes, mechanics, pairing
 from fieldpulse.operators.rollup import path_rollup
-from fieldpulse.operators.series import Series
-from fieldpulse.plans import inputs
+from fieldpulse.operators.series import Series, none_long
+from fieldpulse.plans import inputs, jobs
 
 USERS = Series("user_id", ("ts", "event_id"))
 
@@ -91,3 +93,52 @@ def test_five_way_join_moves_roles_twice(spark):
     assert sum(p.startswith("_id#") for p in placed) == 1
     assert sum(p.startswith("GameKey") and "PlayID" in p and "Role" not in p for p in placed) == 5
     assert len(placed) <= 13
+
+
+def _league(spark):
+    """Two games with plays of several players, and rows without keys, plays or positions."""
+    samples = [
+        (2016, g, p, None if (g, p, i) == (1, 1, 9) else i, f"2016-09-01 12:00:0{t}.{(i * t) % 10}00", i + t * 1.5, t / 3, 10.0 * t, 7.0 * i, None)
+        for g in (1, 2, None) for p in (1, 2, None) for i in (5, 6, 7, 9) for t in range(4) if (i, p) != (7, 2)
+    ]
+    raw = spark.createDataFrame(
+        samples, "Season_Year int, GameKey int, PlayID int, GSISID int, Time string, x double, y double, o double, dir double, Event string"
+    ).withColumn("GSISID", F.col("GSISID").cast("decimal(10,1)"))
+    keys = [(g, p, i) for g in (1, 2, 3, None) for p in (1, 2, None) for i in (5, 6, 7, 8, None)]
+    roles = spark.createDataFrame([(*k, r) for k in keys for r in ("GL", "PR")[: 1 + (k[2] == 6)]], "GameKey int, PlayID int, GSISID int, Role string")
+    positions = spark.createDataFrame([(5, "1", "QB"), (5, "2", "QB"), (6, "3", "WR"), (9, "4", "QB")], "GSISID int, Number string, Position string")
+    plays = spark.createDataFrame(
+        [(g, p, "2016-09-01" if p == 1 else "2016-09-02", "Y1", "1", "Punt", "A", "3 - 7") for g in (1, 2) for p in (1, 2)],
+        "GameKey int, PlayID int, " + ", ".join(f"{c} string" for c in schemas.PLAY_ATTRIBUTES),
+    )
+    games = spark.createDataFrame(
+        [(1, "S", "13:00", "H", "V", "Outdoor", "Grass", "Sunny", 60.0)],
+        "GameKey int, " + ", ".join(f"{c} {'double' if c == 'Temperature' else 'string'}" for c in schemas.GAME_ATTRIBUTES),
+    )
+    reviews = spark.createDataFrame([(1, 1, 5, "Tackled", "Helmet", "Blocked", "6")], "GameKey int, PlayID int, GSISID int, " + ", ".join(f"{c} string" for c in schemas.REVIEW_ATTRIBUTES))
+    return raw, roles, positions, plays, games, reviews
+
+
+def test_summary_is_the_same_by_play_and_by_player(spark):
+    tables = _league(spark)
+    by_play = jobs.concussion_summary(*tables, 1000)
+    # The longest play has sixteen samples, the longest series four.
+    by_player = jobs.concussion_summary(*tables, 5)
+    assert by_play.columns == by_player.columns and by_play.dtypes == by_player.dtypes
+    found = [sorted(map(repr, df.collect())) for df in (by_play, by_player)]
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
+def test_attributes_and_roll_up_meet_where_plays_are(spark):
+    made = jobs.concussion_summary(*[t.repartition(3) for t in _league(spark)], 1000)
+    text = plan(made)
+    assert "hashpartitioning(PlayKey" not in text
+    # Samples move once, by play.
+    assert len([p for p in text.split("Exchange ")[1:] if p.startswith("hashpartitioning(GameKey") and "REPARTITION_BY_COL" in p.split("\n")[0]]) == 1
+
+
+def test_no_key_is_long_is_seen_without_counting_each(spark):
+    rows = spark.range(1000).selectExpr("id % 250 AS k", "id AS t")
+    assert none_long(rows, ["k"], 100) and not none_long(rows, ["k"], 3)
+    assert none_long(rows.limit(0), ["k"], 1)
+    assert not none_long(rows.selectExpr("CAST(NULL AS LONG) AS k"), ["k"], 999)
