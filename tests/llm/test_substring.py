@@ -239,6 +239,59 @@ def test_a_pair_and_two_words_beside_it():
     assert keys(others, 43) & keys(others, 43)
 
 
+def test_last_three_words_of_the_longer_end():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        shared = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        span = int(rng.integers(8, 41))
+        a = np.array([25 if span < 30 else 10])
+        b = a + span - sub.SEED_WORDS
+        one, two = shared.copy(), shared.copy()
+        changed = [i for i in range(60) if not a[0] <= i < b[0] + sub.SEED_WORDS and rng.random() < 0.25]
+        two[changed] = rng.integers(0, 1 << 62, len(changed)).astype(np.uint64)
+        # Slices that are aligned go no further than this.
+        low, stop = max(0, a[0] - sub.AROUND), b[0] + sub.SEED_WORDS
+        left = sub._extend(one[low:], two[low:], a[0] - low - 1, a[0] - low - 1, -1)[0]
+        right = sub._extend(one[: stop + sub.AROUND], two[: stop + sub.AROUND], stop, stop, 1)[0]
+        keys = [set(sub.beside(h, np.array([7], np.uint64), a, b, sub.LEAST_WORDS, True)[0].tolist()) for h in (one, two)]
+        if left + span + right >= sub.LEAST_WORDS:
+            assert keys[0] & keys[1]
+        marks = [(h >> np.uint64(54)).astype(np.uint8).tobytes() for h in (one, two)]
+        at = [int(a[0]), int(b[0])]
+        if left + span + right >= sub.LEAST_WORDS:
+            assert sub._reaches(*marks, at, at, sub.LEAST_WORDS)
+    # Two words in a row are no end, nor are three nearer than half of what is missing.
+    own, other = rng.integers(0, 1 << 62, (2, 60)).astype(np.uint64)
+    other[25:35] = own[25:35]
+    for kept, same in ((range(5, 7), False), (range(22, 25), False), (range(5, 8), True)):
+        third = other.copy()
+        third[list(kept)] = own[list(kept)]
+        a, b = np.array([25]), np.array([30])
+        keys = [set(sub.beside(h, np.array([7], np.uint64), a, b, sub.LEAST_WORDS, True)[0].tolist()) for h in (own, third)]
+        assert bool(keys[0] & keys[1]) == same
+
+
+def test_each_pair_of_a_document_comes_once():
+    rng = random.Random(10)
+    for _ in range(100):
+        n = rng.randrange(1, 30)
+        places = np.cumsum([rng.randrange(1, 40) for _ in range(n)])
+        hashes = np.array([rng.randrange(4) for _ in range(n)], np.uint64)
+        hot, is_open = [np.array([rng.random() < 0.3 for _ in range(n)]) for _ in range(2)]
+        keys, i, j = sub.near_pairs(places, hashes, hot)
+        want = {
+            (x, y) for x in range(n) for y in range(x + 1, n)
+            if places[y] - places[x] < sub.NEAR_WORDS and hot[x : y + 1].any() and len(set(hashes[x : y + 1].tolist())) > 1
+        }
+        assert set(zip(i.tolist(), j.tolist())) == want and len(keys) == len(want)
+        own, bounds, opened = sub.once_each(keys, i, j, places, is_open)
+        got = {k: opened[x:y].tolist() for k, x, y in zip(own.tolist(), bounds, bounds[1:])}
+        for k in got:
+            inside = {p for x, y, key in zip(i, j, keys.tolist()) if key == k for p in places[x : y + 1][is_open[x : y + 1]].tolist()}
+            assert got[k] == sorted(inside)
+        assert set(got) == set(keys.tolist()) and len(own) == len(got)
+
+
 def test_equal_windows_have_equal_signatures():
     rng = np.random.default_rng(5)
     least = sub.LEAST_WORDS
