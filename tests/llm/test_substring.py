@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldpulse.llm import substring_dedup as sub
@@ -309,3 +310,63 @@ def test_equal_windows_have_equal_signatures():
         # Beyond the end of the text there are no more than some empty starts.
         assert sub.window_signatures(at, rolled[at], [(5_000, 6_000)], least) == []
     assert all(s == seen[0] for s in seen)
+
+
+def test_chains_are_the_same_with_many_matches_of_a_place():
+    r = random.Random(3)
+    used = []
+    by_rows = sub._scored_by_rows
+    for width in (3, 8, 40):
+        matches = sorted({(r.randrange(width), r.randrange(120)) for _ in range(60 * width)})
+        places, others = [a for a, _ in matches], [b for _, b in matches]
+        order = sorted(range(len(matches)), key=lambda i: (places[i], -others[i]))
+        one_by_one = sub._scored(places, others, order)
+        assert one_by_one == by_rows(np.array(places), np.array(others))
+        # Every score is the best one over all matches before it.
+        for i, (a, b) in enumerate(matches):
+            gains = [one_by_one[0][j] - sub.GAP_COST * (a - x + b - y) for j, (x, y) in enumerate(matches) if x < a and y < b]
+            assert abs(one_by_one[0][i] - sub.SEED_WORDS - max([0.0, *gains])) < 1e-9
+        used.append(len(sub.chains(places, others)))
+    assert all(used)
+
+
+def test_pairs_of_many_texts_together_are_those_of_each():
+    r = np.random.default_rng(5)
+    texts = []
+    for n in (0, 1, 3, 30, 200):
+        places = np.sort(r.choice(max(1, 9 * n), n, replace=False))
+        texts.append((places, r.integers(0, 12, n).astype(np.uint64), r.random(n) < 0.4, r.random(n) < 0.3))
+    whole = pa.array([t[0].tolist() for t in texts], pa.list_(pa.int32()))
+    hashes = pa.array([t[1].astype(np.int64).tolist() for t in texts], pa.list_(pa.int64()))
+    hot, opened = [pa.array([t[0][t[k]].tolist() or None for t in texts], pa.list_(pa.int32())) for k in (2, 3)]
+    seen = sub._Near.of(hot, opened, whole, hashes)
+    made = seen.keyed(pa.array(range(5), pa.int64()), *seen.pairs()).to_pylist()
+    expected = []
+    for tag, (places, values, is_hot, is_open) in enumerate(texts):
+        keys, i, j = sub.near_pairs(places, values, is_hot)
+        own, bounds, at = sub.once_each(keys, i, j, places, is_open)
+        expected += [(tag, int(k), at[x:y].tolist()) for k, x, y in zip(own.view(np.int64), bounds, bounds[1:])]
+    assert sorted((m["_tag"], m["_pair"], m["_open"]) for m in made) == sorted(expected) and len(expected) > 50
+
+
+def test_repeated_seeds_move_once_and_are_not_sorted(spark):
+    rows = [(3, [7, 9, 30], [1, 2, 1], [True, True, False]), (1, [5, 8], [1, 3], [True, True]), (2, [4], [1], [True])]
+    seeded = spark.createDataFrame(rows, "_tag long, _places array<int>, _hashes array<long>, _new array<boolean>")
+    found = sub._repeated(seeded)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and text.count("Exchange hashpartitioning") == 1
+    (row,) = found.collect()
+    assert (row["_hash"], row["_least"], row["_most"], row["_n"]) == (1, 1, 3, 4)
+    assert set(map(tuple, row["_firsts"])) <= {(1, 5), (2, 4), (3, 7)} and (1, 5) in set(map(tuple, row["_firsts"]))
+
+
+def test_what_is_chained_with_the_same_seeds_is_not_chained_again(spark):
+    met = "_tag long, _ref long, _open array<int>"
+    first = spark.createDataFrame([(5, 1, [3, 9]), (5, 2, [3]), (6, 1, [4])], met)
+    then = spark.createDataFrame([(5, 1, [9, 3]), (5, 2, [3, 9]), (5, 3, [3]), (6, 1, [4])], met)
+    opens = [spark.createDataFrame(
+        [(5, [(3, 1), (9, 2)]), (6, [(4, 1)] * n)], "_tag long, _opens array<struct<_at:int,_hash:long>>"
+    ) for n in (2, 1)]
+    # Document 6 has fewer open seeds than before, so its chains can be others.
+    left = sub._not_again(then, opens[1], first, opens[0]).collect()
+    assert sorted((m["_tag"], m["_ref"]) for m in left) == [(5, 2), (5, 3), (6, 1)]
