@@ -142,3 +142,33 @@ def test_no_key_is_long_is_seen_without_counting_each(spark):
     assert none_long(rows, ["k"], 100) and not none_long(rows, ["k"], 3)
     assert none_long(rows.limit(0), ["k"], 1)
     assert not none_long(rows.selectExpr("CAST(NULL AS LONG) AS k"), ["k"], 999)
+
+
+def test_summary_is_the_same_by_game(spark):
+    tables = _league(spark)
+    raw, roles, _, plays, games, reviews = tables
+    assert jobs._meet_by_game(raw, roles, plays, games, reviews, 1000)
+    # A game has 44 samples, a play 16.
+    assert not jobs._meet_by_game(raw, roles, plays, games, reviews, 40) and jobs._meet_by_play(raw, roles, 40)
+    assert not jobs._meet_by_game(raw, roles, plays, games, reviews.withColumn("PlayID", F.col("PlayID").cast("long")), 1000)
+    # Play 2 of game 1 is listed twice under different lines, so each of its rows comes twice.
+    doubled = plays.unionByName(plays.filter("GameKey = 1 and PlayID = 2").withColumn("YardLine", F.lit("Y2")))
+    tables = raw, roles, tables[2], doubled, games, reviews
+    found = [sorted(map(repr, jobs.concussion_summary(*tables, n).collect())) for n in (1000, 40, 5)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > len(set(found[0])) > 10
+
+
+def test_samples_and_attributes_do_not_move_to_a_list_of_positions(spark):
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(jobs.concussion_summary(*[t.repartition(3) for t in _league(spark)], 1000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    moved = [p.split("\n")[0] for p in text.split("Exchange ")[1:] if p.startswith("hashpartitioning(")]
+    # By id only the positions, for samples twice and for players once.
+    assert not [m for m in moved if m.startswith("hashpartitioning(_id")]
+    assert len([m for m in moved if m.startswith("hashpartitioning(GSISID")]) <= 3
+    # By game the samples, the attributes together, and the games.
+    by_game = [m for m in moved if re.match(r"hashpartitioning\((GameKey|_game)#\d+, ", m)]
+    assert len(by_game) == 3 and len(moved) <= 6
